@@ -2,9 +2,9 @@
 
 
 def _parts():
-    from qualitylab.catalog import data, texts
+    from qualitylab.catalog import data, stats, texts
 
-    return [data.catalog, texts.catalog]
+    return [data.catalog, texts.catalog, stats.catalog]
 
 
 def all_queries() -> dict:
