@@ -2,9 +2,9 @@
 
 
 def _parts():
-    from qualitylab.catalog import data, stats, texts
+    from qualitylab.catalog import data, learning, stats, texts
 
-    return [data.catalog, texts.catalog, stats.catalog]
+    return [data.catalog, texts.catalog, stats.catalog, learning.catalog]
 
 
 def all_queries() -> dict:

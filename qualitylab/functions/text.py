@@ -161,6 +161,11 @@ def letters_only(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z]+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Trim every kind of white space at both ends."""
+    return F.regexp_replace(text, rf"^{SPACES}+|{SPACES}+$", "")
+
+
 def sentences(text: Column) -> Column:
     """Sentences: cut at white space that follows ``. ! ?``."""
     return F.split(text, rf"(?<=[.!?]){SPACES}+", -1)

@@ -49,7 +49,7 @@ def _penalised(stats: LabelStats, l1: float, l2: float) -> LinearRegression:
     whole = l1 + l2
     return LinearRegression(
         **COLUMNS, regParam=whole, elasticNetParam=l1 / whole if whole else 0.0,
-        standardization=False, solver="normal", maxIter=500, tol=1e-9,
+        standardization=False, solver="normal", maxIter=500, tol=1e-7,
     )
 
 
