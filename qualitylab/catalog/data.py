@@ -192,9 +192,9 @@ def external_tables(spark, d):
 
 
 # --- projections and filters --------------------------------------------------------------
-@add("n1_composite_score", W + views.SCORES_SQL + "SELECT id, round(composite_score, 6) AS composite_score FROM comp")
+@add("n1_composite_score", W + views.SCORES_SQL + "SELECT id, round(composite_score, 9) AS composite_score FROM comp")
 def composite_score(spark, d):
-    return scores.with_composite(views.three_scores(spark, d)).select("id", F.round("composite_score", 6).alias("composite_score"))
+    return scores.with_composite(views.three_scores(spark, d)).select("id", F.round("composite_score", 9).alias("composite_score"))
 
 
 @add("n2_category_filter", "SELECT doc_id AS id, source AS category FROM documents WHERE source IN ('src1', 'src3')")
@@ -275,11 +275,11 @@ def label_join(spark, d):
 
 
 @add("j2_merged_dataset", W + views.SCORES_SQL + """
-SELECT id, round(composite_score, 6) AS composite_score, CAST(1 + 4 * quality AS DOUBLE) AS clarity_score
+SELECT id, round(composite_score, 9) AS composite_score, CAST(1 + 4 * quality AS DOUBLE) AS clarity_score
 FROM comp LEFT JOIN labels ON doc_id = id""")
 def merged_dataset(spark, d):
     return joins.merged_dataset(views.three_scores(spark, d), views.annotations(spark, d)).select(
-        "id", F.round("composite_score", 6).alias("composite_score"), "clarity_score")
+        "id", F.round("composite_score", 9).alias("composite_score"), "clarity_score")
 
 
 @add("j3_prompt_response_pairs", W + views.PAIRS_SQL + "SELECT conv_id, turn, prompt, response FROM pairs")

@@ -342,10 +342,10 @@ def report_summary(spark, d):
 
 
 @add("e23_residuals", SCORED + f"""
-SELECT id, category, difficulty, round(y_true, 6) AS actual, round(y_pred, 6) AS predicted, round({RES}, 6) AS error, round(abs({RES}), 6) AS abs_error FROM scored""")
+SELECT id, category, difficulty, round(y_true, 9) AS actual, round(y_pred, 9) AS predicted, round({RES}, 9) AS error, round(abs({RES}), 9) AS abs_error FROM scored""")
 def residuals(spark, d):
     out = metrics.residuals(views.scored(spark, d), ["id", "category", "difficulty"])
-    return out.select(*out.columns[:3], *[F.round(c, 6).alias(c) for c in out.columns[3:]])
+    return out.select(*out.columns[:3], *[F.round(c, 9).alias(c) for c in out.columns[3:]])
 
 
 # --- sorts, top-k and windows ---------------------------------------------------------------

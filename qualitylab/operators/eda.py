@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qualitylab.functions.stats import correlation
 from qualitylab.operators import ordering
 
 
@@ -84,7 +85,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     row = df.agg(
         F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"))
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r"))
             for a, b in pairs
         ]).alias("cells")
     )

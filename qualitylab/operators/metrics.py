@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qualitylab.functions import fixed, scores
+from qualitylab.functions.stats import correlation
 from qualitylab.operators import ordering
 
 TRUE, PRED = "y_true", "y_pred"
@@ -48,7 +49,7 @@ def max_error() -> Column:
 
 
 def pearson_r() -> Column:
-    return F.corr(TRUE, PRED)
+    return correlation(TRUE, PRED)
 
 
 def explained_variance() -> Column:
