@@ -153,13 +153,15 @@ def fit_models(
 ) -> Fitted:
     """Fit the named registry models (all without names); unknown names are skipped."""
     params = params or {}
+    shared = train.is_cached  # then it is the caller's to release
+    train = train.persist()
     scaler = fit_scaler(train) if scale else None
-    ready = _scaled(train, scaler).persist()
+    ready = _scaled(train, scaler)
     stats = LabelStats.of(ready)
     wanted = [n for n in (names or MODEL_REGISTRY) if n in MODEL_REGISTRY]
     models = {n: build(n, stats, params.get(n)).fit(ready) for n in wanted}
-    if "knn" not in models:
-        ready.unpersist()
+    if not shared and "knn" not in models:
+        train.unpersist()
     return Fitted(scaler, models, params)
 
 

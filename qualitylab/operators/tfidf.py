@@ -25,7 +25,8 @@ from qualitylab.functions import fixed, text
 from qualitylab.functions.text import let
 from qualitylab.session import pin
 
-BROADCAST_TERMS = 200_000
+BROADCAST_TERMS = 200_000  # a vocabulary of at most this many rows may be broadcast
+LITERAL_TERMS = 5_000  # and one of at most this many may be a literal set
 
 
 def words(column: Column, stop_words: Sequence[str] = tuple(fixed.STOP_WORDS)) -> Column:
@@ -37,15 +38,22 @@ def words(column: Column, stop_words: Sequence[str] = tuple(fixed.STOP_WORDS)) -
 def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     """All n-grams of ``low`` to ``high`` words, joined by a blank."""
 
-    def of(size: int, ws: Column) -> Column:
-        if size == 1:
-            return ws
-        starts = F.when(
-            F.size(ws) >= size, F.sequence(F.lit(1), F.size(ws) - size + 1)
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(ws, i, size)))
+    def longer(grams: Column, ws: Column, size: int) -> Column:
+        """Grams of ``size - 1`` words, each extended by the word after it."""
+        many = F.greatest(F.size(ws) - size + 1, F.lit(0))
+        return F.zip_with(
+            F.slice(grams, 1, many), F.slice(ws, F.lit(size), many),
+            lambda gram, word: F.concat(gram, F.lit(" "), word),
+        )
+
+    def climb(grams: Column, ws: Column, size: int) -> Column:
+        """Grams of ``size`` words and of every size above, in one array."""
+        if size == high:
+            return grams
+        above = let(longer(grams, ws, size + 1), lambda more: climb(more, ws, size + 1))
+        return F.concat(grams, above) if size >= low else above
 
-    return let(tokens, lambda ws: F.concat(*[of(n, ws) for n in range(low, high + 1)]))
+    return let(tokens, lambda ws: climb(ws, ws, 1))
 
 
 def _term_counts(terms: Column) -> Column:
@@ -108,9 +116,14 @@ class TfIdf:
 
     def transform(self, df: DataFrame, column: str, vocabulary: DataFrame, key: str = "id") -> DataFrame:
         """Rows ``(key, term, index, weight)`` of terms in the vocabulary."""
+        terms = self.terms(column)
         if self.max_features is not None and self.max_features <= BROADCAST_TERMS:
+            if self.max_features <= LITERAL_TERMS:
+                # Drop other terms in place, before rows are sorted and exploded.
+                known = [row["term"] for row in vocabulary.select("term").collect()]
+                terms = F.filter(terms, lambda term: term.isin(known))
             vocabulary = F.broadcast(vocabulary)  # at most max_features rows
-        counts = df.select(key, F.inline(_term_counts(self.terms(column))))
+        counts = df.select(key, F.inline(_term_counts(terms)))
         tf = 1 + F.log("tf") if self.sublinear else F.col("tf").cast("double")
         raw = counts.join(vocabulary, "term").select(
             key, F.struct("index", "term", (tf * F.col("idf")).alias("w")).alias("e")

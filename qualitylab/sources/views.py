@@ -7,14 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qualitylab.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a text table, on all cores: text work is heavy for its size."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as responses; the source is the category, its name the prompt."""
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents", "doc_id", "text", "source", "lang").select(
         F.col("doc_id").alias("id"),
         F.concat_ws(" ", F.lit("Describe"), "source", F.lit("in"), "lang").alias("prompt"),
         F.col("text").alias("response"),
