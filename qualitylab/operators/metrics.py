@@ -64,10 +64,8 @@ def within(limit: float) -> Column:
 # --- tables ---------------------------------------------------------------------------
 def regression_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All nine metrics and the row count, one row per group (one row without ``by``)."""
-    keys = list(by) or ["_scope"]
-    columns = [*keys, TRUE, PRED]
-    rows = scored if by else scored.withColumn("_scope", F.lit("all"))
-    rows = rows.select(*columns).dropna()
+    keys = list(by)
+    rows = scored.select(*keys, TRUE, PRED).dropna()
     algebraic = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), rmse().alias("rmse"), mae().alias("mae"), r2().alias("r2"),
         mape().alias("mape"), max_error().alias("max_error"), pearson_r().alias("pearson_r"),
@@ -87,8 +85,11 @@ def regression_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         for kind, column in (("t", TRUE), ("p", PRED))
     ]
     rank = ordering.correlate_ranks(rows, keys, TRUE, PRED, *ranks)
-    joined = algebraic.join(middle, keys).join(rank, keys)
-    return joined.select(*by, "n", *METRICS)
+    if keys:
+        joined = algebraic.join(middle, keys).join(rank, keys)
+    else:  # one row each: scalar subqueries, not a join without a key
+        joined = algebraic.withColumns({"medae": middle.scalar(), "spearman_r": rank.scalar()})
+    return joined.select(*keys, "n", *METRICS)
 
 
 def tidy(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str], digits: int = 4) -> DataFrame:
