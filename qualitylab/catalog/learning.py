@@ -15,7 +15,10 @@ catalog = Catalog()
 add = catalog.add
 COMP = "WITH " + views.SCORES_SQL
 SCORED = "WITH " + views.SCORED_SQL
-R = F.col("response")
+
+def response():
+    return F.col("response")
+
 
 
 # --- encoding -------------------------------------------------------------------------------
@@ -86,7 +89,7 @@ ROUNDED = "SELECT id, term, round(weight, 6) AS weight FROM tw"
 @add("v4_ngrams", DOCS + f"""tk AS (SELECT id, {tokens_sql(letters_sql('text'))} AS ws FROM dc)
 SELECT ngram, count(*) AS n FROM (SELECT unnest({ngram_sql('ws', 1, 2)}) AS ngram FROM tk) GROUP BY ngram""")
 def ngrams(spark, d):
-    grams = views.responses(spark, d).select(F.explode(tfidf.ngrams(tfidf.words(R), 1, 2)).alias("ngram"))
+    grams = views.responses(spark, d).select(F.explode(tfidf.ngrams(tfidf.words(response()), 1, 2)).alias("ngram"))
     return grams.groupBy("ngram").agg(F.count("*").alias("n"))
 
 
@@ -251,28 +254,28 @@ def _reworded(spark, d, column):
 
 @add("g1_synonym_replacement")
 def synonym_replacement(spark, d):
-    return _reworded(spark, d, augment.synonym_replacement(R, F.col("id"), 2, synonyms=LOCAL_SYNONYMS))
+    return _reworded(spark, d, augment.synonym_replacement(response(), F.col("id"), 2, synonyms=LOCAL_SYNONYMS))
 
 
 @add("g2_random_deletion")
 def random_deletion(spark, d):
-    return _reworded(spark, d, augment.random_deletion(R, F.col("id")))
+    return _reworded(spark, d, augment.random_deletion(response(), F.col("id")))
 
 
 @add("g3_random_swap", f"SELECT doc_id AS id, array_to_string(list_sort({words_sql('text')}), ' ') AS words FROM documents")
 def random_swap(spark, d):
-    swapped = augment.random_swap(R, F.col("id"), 3)
+    swapped = augment.random_swap(response(), F.col("id"), 3)
     return views.responses(spark, d).select("id", F.array_join(F.sort_array(text.split_words(swapped)), " ").alias("words"))
 
 
 @add("g4_shuffle_sentences")
 def shuffle_sentences(spark, d):
-    return _reworded(spark, d, augment.shuffle_sentences(R, F.col("id")))
+    return _reworded(spark, d, augment.shuffle_sentences(response(), F.col("id")))
 
 
 @add("g5_back_translation")
 def back_translation(spark, d):
-    return _reworded(spark, d, augment.random_swap(augment.synonym_replacement(R, F.col("id"), 3, synonyms=LOCAL_SYNONYMS), F.col("id")))
+    return _reworded(spark, d, augment.random_swap(augment.synonym_replacement(response(), F.col("id"), 3, synonyms=LOCAL_SYNONYMS), F.col("id")))
 
 
 def _strip(column: str) -> str:

@@ -23,13 +23,16 @@ def _docs(spark, d, column, name):
     return views.responses(spark, d).select("id", column.alias(name))
 
 
-R = F.col("response")
+
+def response():
+    return F.col("response")
+
 DOC = "SELECT doc_id AS id, "
 
 
 @add("t1_fold_to_ascii", f"{DOC}{fold_sql('text')} AS folded FROM documents")
 def fold(spark, d):
-    return _docs(spark, d, text.fold_to_ascii(R), "folded")
+    return _docs(spark, d, text.fold_to_ascii(response()), "folded")
 
 
 @add("t2_strip_tags", "SELECT page_id AS id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS plain FROM pages")
@@ -43,32 +46,32 @@ SHORT = "regexp_replace(text, ' the ', ' they''re the ', 'g')"
 
 @add("t3_expand_contractions", f"{DOC}{contractions_sql(SHORT)} AS expanded FROM documents")
 def contractions(spark, d):
-    return _docs(spark, d, text.expand_contractions(F.regexp_replace(R, " the ", " they're the ")), "expanded")
+    return _docs(spark, d, text.expand_contractions(F.regexp_replace(response(), " the ", " they're the ")), "expanded")
 
 
 @add("t4_lower_case", f"{DOC}lower(text) AS lowered FROM documents")
 def lowered(spark, d):
-    return _docs(spark, d, F.lower(R), "lowered")
+    return _docs(spark, d, F.lower(response()), "lowered")
 
 
 @add("t5_drop_digits", rf"{DOC}regexp_replace(text, '\p{{Nd}}+', ' ', 'g') AS no_digits FROM documents")
 def digits(spark, d):
-    return _docs(spark, d, text.drop_digits(R), "no_digits")
+    return _docs(spark, d, text.drop_digits(response()), "no_digits")
 
 
 @add("t6_drop_punctuation", f"{DOC}regexp_replace({fold_sql('text')}, '[^a-zA-Z0-9_.!?'']', ' ', 'g') AS bare FROM documents")
 def punctuation(spark, d):
-    return _docs(spark, d, text.drop_punctuation(text.fold_to_ascii(R)), "bare")
+    return _docs(spark, d, text.drop_punctuation(text.fold_to_ascii(response())), "bare")
 
 
 @add("t7_squeeze", f"{DOC}trim(regexp_replace(text, ' +', ' ', 'g')) AS squeezed FROM documents")
 def squeezed(spark, d):
-    return _docs(spark, d, text.squeeze(R), "squeezed")
+    return _docs(spark, d, text.squeeze(response()), "squeezed")
 
 
 @add("t8_clean", f"{DOC}{clean_sql('text')} AS response_clean FROM documents")
 def cleaned(spark, d):
-    return _docs(spark, d, text.clean(R), "response_clean")
+    return _docs(spark, d, text.clean(response()), "response_clean")
 
 
 @add("t8_clean_pages", f"SELECT page_id AS id, {clean_sql('html')} AS html_clean FROM pages")
@@ -78,7 +81,7 @@ def cleaned_pages(spark, d):
 
 @add("t9_tokenize", f"{DOC}array_to_string({tokens_sql(clean_sql('text'))}, ' ') AS tokens FROM documents")
 def tokens(spark, d):
-    return _docs(spark, d, F.array_join(text.tokenize(text.clean(R)), " "), "tokens")
+    return _docs(spark, d, F.array_join(text.tokenize(text.clean(response())), " "), "tokens")
 
 
 @add("t10_clean_columns", f"""
@@ -91,7 +94,7 @@ def clean_columns(spark, d):
 
 @add("t11_letters_only", f"{DOC}{letters_sql('text')} AS letters FROM documents")
 def letters(spark, d):
-    return _docs(spark, d, text.letters_only(R), "letters")
+    return _docs(spark, d, text.letters_only(response()), "letters")
 
 
 def _feature_sql(source: str, key: str) -> str:
@@ -162,19 +165,19 @@ SELECT word, count(*) AS count FROM w
 WHERE regexp_full_match(word, '[a-zA-Z]{{4,}}') AND NOT list_contains({sql_list(fixed.STOP_WORDS)}, word)
 GROUP BY word ORDER BY count DESC, word LIMIT 30""")
 def keywords(spark, d):
-    return eda.top_keywords(views.responses(spark, d), text.keyword_candidates(R), fixed.STOP_WORDS)
+    return eda.top_keywords(views.responses(spark, d), text.keyword_candidates(response()), fixed.STOP_WORDS)
 
 
 # RE2 has no lookbehind: a mark is put after each sentence end first.
 @add("t14_sentences", f"""
 {DOC}len(string_split(regexp_replace(text, '([.!?]){SPACE}+', '\\1' || chr(1), 'g'), chr(1))) AS sentences FROM documents""")
 def sentence_split(spark, d):
-    return _docs(spark, d, F.size(text.sentences(R)).cast("long"), "sentences")
+    return _docs(spark, d, F.size(text.sentences(response())).cast("long"), "sentences")
 
 
 @add("t15_split_list", f"{DOC}len(string_split(text, '|')) AS parts, string_split(text, '|')[1] AS head FROM documents")
 def lists(spark, d):
-    parts = text.split_list(R)
+    parts = text.split_list(response())
     return views.responses(spark, d).select("id", F.size(parts).cast("long").alias("parts"), parts[0].alias("head"))
 
 
@@ -185,7 +188,7 @@ voc AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS id, cou
 
 
 def _vocabulary(spark, d):
-    return encoding.build_vocabulary(views.responses(spark, d), text.tokenize(text.clean(R)))
+    return encoding.build_vocabulary(views.responses(spark, d), text.tokenize(text.clean(response())))
 
 
 @add("t17_vocabulary", f"WITH {VOCABULARY_SQL} SELECT term, id, freq FROM voc")
@@ -218,7 +221,7 @@ def submission(spark, d):
 
 @add("t20_token_count", f"{DOC}len({words_sql('text')}) AS token_count FROM documents")
 def token_count(spark, d):
-    return _docs(spark, d, text.token_count(R).cast("long"), "token_count")
+    return _docs(spark, d, text.token_count(response()).cast("long"), "token_count")
 
 
 # The registries joined to the prompts each strategy and model would serve.
