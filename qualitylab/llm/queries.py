@@ -19,7 +19,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.secrets(table(spark, folder, "documents"))
     base = ("assign", "access", "hex")
-    counts = [F.size(F.filter("found", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in base]
+    counts = [F.size(secrets.of_kinds(F.col("found"), kind)).cast("long").alias(f"n_{kind}") for kind in base]
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("found"), base), 256).alias("base_sha256"),
                         secrets.joined(F.col("found")).alias("spans"))
 
@@ -85,7 +85,7 @@ WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, u
 t AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS core FROM l),
 b AS (SELECT core FROM t WHERE core <> '' GROUP BY core HAVING count(DISTINCT source) >= {lines.MIN_SITES})
 SELECT doc_id, count(*) AS n_lines, count(b.core) AS n_removed,
-       coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (b.core IS NULL), '') AS kept
+       coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE b.core IS NULL), '') AS kept
 FROM t LEFT JOIN b USING (core) GROUP BY doc_id
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL"""
 

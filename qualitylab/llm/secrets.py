@@ -162,10 +162,14 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return docs.select(F.col(id_col), secret_spans(F.col(text_col), threshold).alias("found"))
 
 
+def of_kinds(found: Column, *kinds: str) -> Column:
+    """The spans of ``kinds``."""
+    return F.filter(found, lambda s: s["kind"].isin(*kinds))
+
+
 def joined(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """``kind:start:end`` of the spans of ``kinds``, comma-joined in order."""
-    kept = F.filter(found, lambda s: s["kind"].isin(*kinds))
-    return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return F.array_join(F.transform(of_kinds(found, *kinds), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
