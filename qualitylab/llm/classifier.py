@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from qualitylab.llm.shared import word_hashes
+from qualitylab.llm.shared import arrow_texts, values, word_hashes
 
 #: log2 of the buckets of words, and of those of n-grams; sizes of the n-grams in bytes.
 BITS, GRAMS = 17, (3, 4)
@@ -56,7 +56,7 @@ def counted_features(text: Column) -> Column:
     @arrow_udf("struct<buckets:array<int>,counts:array<int>>")
     def counted(texts: pa.Array) -> pa.Array:
         rows = []
-        for t in texts.to_pylist():
+        for t in values(texts):
             buckets, counts = np.unique(features(t), return_counts=True)
             rows.append({"buckets": buckets, "counts": counts})
         return pa.array(rows, pa.struct([("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
@@ -129,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     many feature lists. Labels other than 0 and 1, null ids and null texts are left out; an id with several
     labels has the lowest, one with several texts the first of them in order.
     """
+    arrow_texts(docs)
     usable = labels.filter(F.col(label_col).isin(0, 1) & (remainder(id_col) != 2))
     chosen = (usable.groupBy(id_col).agg(F.min(label_col).alias("label_"))
               .orderBy(F.xxhash64(id_col), id_col).limit(max_rows))
@@ -148,7 +149,7 @@ def quality_score(text: Column, model: Model, spark) -> Column:
     @arrow_udf("double")
     def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            yield pa.array([shared.value.score(t) for t in column.to_pylist()], pa.float64())
+            yield pa.array([shared.value.score(t) for t in values(column)], pa.float64())
 
     return scored(text)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from qualitylab.llm.shared import LOWER, covered, fresh, window_hashes, word_hashes
+from qualitylab.llm.shared import LOWER, arrow_texts, covered, fresh, values, window_hashes, word_hashes
 
 WIDTH = 10
 #: Bytes of benchmark text whose windows are broadcast at once.
@@ -58,7 +58,7 @@ def _scan(text: Column, items: list[tuple[object, str | None]], width: int, spar
         by_width = {k: np.array(sorted(v), np.uint64) for k, v in by_width.items()}
         for column in columns:
             rows = []
-            for text in column.to_pylist():
+            for text in values(column):
                 words = normal_words(text)
                 hashed = word_hashes(words)
                 starts, ends, items = [], [], set()
@@ -85,7 +85,7 @@ def _cut(text: Column, starts: Column, ends: Column) -> Column:
     @arrow_udf("struct<n_hit:bigint,kept:string>")
     def cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         rows = []
-        for t, s, e in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
+        for t, s, e in zip(values(text), values(starts), values(ends), strict=True):
             if not s:
                 rows.append({"n_hit": 0, "kept": t})
                 continue
@@ -120,7 +120,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, name: str, width: int
     the text without its hit runs of words."""
     scans = [_scan(F.col(text_col), block, width, docs.sparkSession)
              for block in benchmark_blocks(benchmark, block_bytes, item_col, item_text)]
-    scanned = docs.withColumn(name, F.array(*scans))
+    scanned = arrow_texts(docs).withColumn(name, F.array(*scans))
     joined = {part: F.flatten(F.col(f"{name}.{part}")) for part in ("starts", "ends", "items")}
     cut = _cut(F.col(text_col), joined["starts"], joined["ends"])
     return scanned.withColumn(name, F.struct(

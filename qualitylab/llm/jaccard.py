@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from qualitylab.llm.shared import LOWER, window_hashes, word_hashes, written
+from qualitylab.llm.shared import LOWER, arrow_texts, values, window_hashes, word_hashes, written
 
 SHINGLE, PERCENT = 4, 85
-#: Documents in whose prefix a shingle must be to go last, how many such shingles are sent to the tasks at most
-#: (the most frequent; the order only decides the speed), and how far past the prefix they are counted.
-FREQUENT, MAX_FREQUENT, PAST = 64, 200_000, 1.25
+#: A shingle in more prefixes than this goes last; how many such shingles are sent to the tasks at most (the most
+#: frequent; the order only decides the speed); how much more than the prefix is kept to replace them.
+FREQUENT, MAX_FREQUENT, SPARE = 64, 200_000, 1.25
 #: Bits of a set's parity map, and ids that may be broadcast to pick the documents to verify.
 BITS, MAX_PICKED = 512, 2_000_000
 #: Sizes of neighbouring blocks differ by this factor, a little more than similar sets can.
@@ -57,45 +57,83 @@ def parity_map(values: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def indexed_sets(text: Column, frequent: np.ndarray, percent: int, shingle: int, bits: int, spark) -> Column:
-    """``n``, ``key``, ``map`` and ``prefix`` of each text's set, frequent shingles (by their upper 32 bits) last."""
-    shared = spark.sparkContext.broadcast(frequent)
+def is_frequent(values_: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which shingles have their upper 32 bits among ``frequent`` (sorted)."""
+    upper = (values_ >> np.uint64(32)).astype(np.int64)
+    return frequent[np.minimum(np.searchsorted(frequent, upper), len(frequent) - 1)] == upper
+
+
+def indexed_sets(text: Column, percent: int, shingle: int, frequent: np.ndarray | None = None) -> Column:
+    """``n``, ``key``, ``map`` and ``prefix`` of each text's set. With ``frequent`` the prefix is in the index's order; without,
+    it holds the smallest hashes, SPARE times the prefix."""
     kind = pa.struct([("n", pa.int64()), ("key", pa.int64()), ("map", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     @arrow_udf("struct<n:bigint,key:bigint,map:array<bigint>,prefix:array<bigint>>")
     def indexed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        last = shared.value
         for column in columns:
             rows = []
-            for t in column.to_pylist():
-                values = shingle_set(t, shingle)
-                p = prefix_length(len(values), percent)
-                if len(last) and len(values):
-                    upper = (values >> np.uint64(32)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(last, upper), len(last) - 1)
-                    late = last[at] == upper
-                    first = np.concatenate([values[~late][:p], values[late][:p]])[:p]
+            for t in values(column):
+                found = shingle_set(t, shingle)
+                p = prefix_length(len(found), percent)
+                if frequent is None:
+                    first = found[:math.ceil(SPARE * p)].copy()
                 else:
-                    first = values[:p]
-                rows.append({"n": len(values), "key": set_key(values), "map": parity_map(values, bits), "prefix": first.view(np.int64)})
+                    late = is_frequent(found, frequent)
+                    first = np.concatenate([found[~late][:p], found[late][:p]])[:p]
+                rows.append({"n": len(found), "key": set_key(found), "map": parity_map(found, BITS), "prefix": first.view(np.int64)})
             yield pa.array(rows, kind)
 
     return indexed(text)
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, percent: int, shingle: int) -> np.ndarray:
-    """Upper halves of the shingles that are in many prefixes, sorted; at most MAX_FREQUENT."""
+def reordered(prefix: Column, n: Column, frequent: np.ndarray, percent: int) -> Column:
+    """The prefix in the index's order out of a longer one by hash; null if that one was not long enough."""
 
-    @arrow_udf("array<int>")
-    def first(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            sets = [shingle_set(t, shingle) for t in column.to_pylist()]
-            yield pa.array([(v[:int(PAST * prefix_length(len(v), percent))] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                            for v in sets], pa.list_(pa.int32()))
+    @arrow_udf("array<bigint>")
+    def chosen(prefixes: pa.Array, sizes: pa.Array) -> pa.Array:
+        rows = []
+        for hashes, n in zip(values(prefixes), values(sizes), strict=True):
+            found, p = np.array(hashes, np.int64).view(np.uint64), prefix_length(n, percent)
+            late = is_frequent(found, frequent) if p else np.empty(0, bool)
+            rest = found[~late][:p]
+            if len(rest) < p and len(found) == n:
+                rest = np.concatenate([rest, found[late]])[:p]
+            rows.append(rest.view(np.int64) if len(rest) == p else None)
+        return pa.array(rows, pa.list_(pa.int64()))
 
-    counted = docs.select(F.explode(first(F.col(text_col))).alias("s")).groupBy("s").count()
+    return chosen(prefix, n)
+
+
+def frequent_shingles(sets: DataFrame, percent: int) -> np.ndarray:
+    """Upper halves of the shingles that are in more than FREQUENT prefixes, sorted; at most MAX_FREQUENT."""
+    p = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    upper = F.explode(F.transform(F.slice("prefix", F.lit(1), p.cast("int")), lambda h: F.shiftrightunsigned(h, 32)))
+    counted = sets.filter("n > 0").select(upper.alias("s")).groupBy("s").count()
     top = counted.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "s").limit(MAX_FREQUENT).select("s")
-    return np.sort(np.array([r.s for r in top.collect()], np.int32).view(np.uint32).astype(np.int64))
+    return np.sort(np.array([r.s for r in top.collect()], np.int64))
+
+
+def prefixes(docs: DataFrame, sets: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``key``, ``n`` and ``prefix`` of all sets, frequent shingles last. Where the stored part of a set holds too few others, the
+    text is read again."""
+    frequent = frequent_shingles(sets, percent)
+    sets = sets.filter("n > 0")
+    if not len(frequent):
+        p = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        return sets.select("key", "n", F.slice("prefix", F.lit(1), p.cast("int")).alias("prefix"))
+    ordered = written(sets.select("id_", "key", "n", reordered(F.col("prefix"), F.col("n"), frequent, percent).alias("prefix")), "prefixes")
+    short = ordered.filter("prefix IS NULL").groupBy("key").agg(F.min("id_").alias("id_"))
+    again = texts_of(docs, short.select("id_"), id_col, text_col).select(indexed_sets(F.col("text_"), percent, shingle, frequent).alias("s"))
+    again = again.select("s.key", "s.n", "s.prefix").join(short.select("key"), "key", "left_semi")
+    return ordered.filter("prefix IS NOT NULL").select("key", "n", "prefix").union(again.select("key", "n", "prefix"))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``text_`` of the documents with these ids."""
+    picked = written(ids, "picked")
+    if picked.count() <= MAX_PICKED:
+        picked = F.broadcast(picked)  # at most MAX_PICKED ids; more take Spark's own join
+    return docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(picked, "id_", "left_semi").select("text_")
 
 
 def size_block(n: Column) -> Column:
@@ -105,78 +143,75 @@ def size_block(n: Column) -> Column:
 
 def shared_postings(sets: DataFrame) -> DataFrame:
     """(``token``, ``key``, ``n``, ``at``) of the prefix shingles in lists where the set has anything to meet."""
-    postings = (sets.filter("n > 0").select("key", "n", F.posexplode("prefix").alias("at", "token"))
-                .withColumn("block", size_block(F.col("n"))).repartition("token"))
-    one = F.lit(1).cast("long")
+    postings = sets.select("key", "n", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    block, one = size_block(F.col("n")), F.lit(1).cast("long")
     lists = postings.groupBy("token").agg(
-        F.count("*").alias("held"), F.min("key").alias("low"), F.max("key").alias("high"),
-        F.bit_or(F.call_function("shiftleft", one, F.col("block"))).alias("blocks")).filter("low <> high")
-    near = F.call_function("shiftleft", F.lit(5).cast("long"), F.col("block"))  # the blocks below and above, one up
+        F.count("*").alias("held"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("at").alias("last"),
+        F.bit_or(F.call_function("shiftleft", one, block)).alias("blocks")).filter("low <> high AND last >= 0")
+    near = F.call_function("shiftleft", F.lit(5).cast("long"), block)  # the blocks below and above, one up
     meets = (F.call_function("shiftleft", F.col("blocks"), F.lit(1)).bitwiseAND(near) != 0) | (F.col("held") > F.bit_count("blocks"))
     return (postings.join(lists, "token").filter(meets).groupBy("token", "key").agg(F.first("n").alias("n"), F.first("at").alias("at")))
 
 
-def bounded(x: str, y: str, percent: int) -> Column:
-    """Whether sizes, positions and parity maps leave room for a similar pair; a true pair always passes."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    ax, ay = F.col(f"{x}.at"), F.col(f"{y}.at")
-    # elements in one set only: at most (nx + ny) (100 - percent) / (100 + percent)
-    room = (nx + ny) * (100 - percent)
-    sizes = (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent)
-    places = (F.abs(ax - ay) + F.abs((nx - ax) - (ny - ay))) * (100 + percent) <= room
-    differing = sum((F.bit_count(F.col(f"{x}.map")[i].bitwiseXOR(F.col(f"{y}.map")[i])) for i in range(BITS // 64)), F.lit(0))
-    return sizes & places & (differing * (100 + percent) <= room)
+def sizes_fit(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and positions leave room for a similar pair; a true pair always passes."""
+    nx, ny, ax, ay = (F.col(f"{side}.{part}") for part in ("n", "at") for side in (x, y))
+    apart = F.abs(ax - ay) + F.abs((nx - ax) - (ny - ay))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (apart * (100 + percent) <= (nx + ny) * (100 - percent))
 
 
-def pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Distinct unordered pairs of keys."""
-    return df.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
+def maps_fit(x: str, y: str, percent: int) -> Column:
+    """Whether the parity maps do: elements in one set only are at most (nx + ny) (100 - percent) / (100 + percent)."""
+    bits = [F.bit_count(F.col(f"{x}.map")[i].bitwiseXOR(F.col(f"{y}.map")[i])) for i in range(BITS // 64)]
+    return sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
-def led_pairs(postings: DataFrame, percent: int) -> DataFrame:
+def led_pairs(postings: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Each set with the two leaders of each of its lists, where bounds allow."""
-    own = F.struct("key", "n", "at", "map")
-    leaders = postings.groupBy("token").agg(
+    nodes = postings.groupBy("key").agg((F.count("*") / F.max(100 + (100 - percent) * F.col("n"))).alias("central"))
+    own = F.struct("key", "n", "at")
+    leaders = postings.join(nodes, "key").groupBy("token").agg(
         F.max(F.struct("central", "key", own.alias("set"))).alias("most"),
         F.max(F.struct(F.xxhash64("token", "key").alias("chance"), own.alias("set"))).alias("drawn"))
     met = (postings.select("token", own.alias("s")).join(leaders, "token")
            .select("s", F.explode(F.array("most.set", "drawn.set")).alias("l")))
-    return pairs_of(met.filter((F.col("s.key") != F.col("l.key")) & bounded("s", "l", percent)), "s.key", "l.key")
+    met = met.filter((F.col("s.key") != F.col("l.key")) & sizes_fit("s", "l", percent))
+    pairs = met.select(F.least("s.key", "l.key").alias("x"), F.greatest("s.key", "l.key").alias("y")).distinct()
+    x, y = (maps.select(F.col("key").alias(end), F.struct("n", "map").alias(end * 2)) for end in ("x", "y"))
+    return pairs.join(x, "x").join(y, "y").filter(maps_fit("xx", "yy", percent)).select("x", "y")
 
 
-def crossing_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list whose sets are not known to be connected (``label``), where bounds allow."""
-    open_lists = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    rows = postings.join(open_lists.select("token"), "token", "left_semi").select("token", F.struct("key", "n", "at", "map", "label").alias("s"))
-    x, y = rows.withColumnRenamed("s", "x"), rows.withColumnRenamed("s", "y")
+def crossing_pairs(postings: DataFrame, maps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list whose sets are not ``known`` to be connected, where bounds allow."""
+    rows = postings.join(maps.drop("n"), "key").join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    x, y = (rows.select("token", F.struct("key", "n", "at", "map", "label").alias(end)) for end in ("x", "y"))
     unlike = (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-    return pairs_of(x.join(y, (x["token"] == y["token"]) & unlike & bounded("x", "y", percent)), "x.key", "y.key")
+    met = x.join(y, (x["token"] == y["token"]) & unlike & sizes_fit("x", "y", percent) & maps_fit("x", "y", percent))
+    return met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
 
 
 def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs of keys whose sets are similar, found by intersecting the sets themselves."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    picked = written(sets.join(ends, "key", "left_semi").groupBy("key").agg(F.min("id_").alias("id_")).select("id_"), "picked")
-    if picked.count() <= MAX_PICKED:
-        picked = F.broadcast(picked)  # at most MAX_PICKED ids; more take Spark's own join
+    picked = sets.select("key", "id_").join(ends, "key", "left_semi").groupBy("key").agg(F.min("id_").alias("id_"))
 
     @arrow_udf("struct<key:bigint,set:binary>")
     def whole(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            found = [shingle_set(t, shingle) for t in column.to_pylist()]
+            found = (shingle_set(t, shingle) for t in values(column))
             yield pa.array([{"key": set_key(v), "set": v.tobytes()} for v in found], pa.struct([("key", pa.int64()), ("set", pa.binary())]))
 
     @arrow_udf("boolean")
     def similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True):
+        for x, y in zip(values(xs), values(ys), strict=True):
             a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(100 * both >= percent * (len(a) + len(b) - both))
-        return pa.array(out)
+        return pa.array(out, pa.bool_())
 
-    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(picked, "id_", "left_semi")
-    held = texts.select(whole("text_").alias("w")).groupBy("w.key").agg(F.first("w.set").alias("set"))
+    held = texts_of(docs, picked.select("id_"), id_col, text_col).select(whole("text_").alias("w"))
+    held = held.groupBy("w.key").agg(F.first("w.set").alias("set"))
     found = (pairs.join(held.select(F.col("key").alias("x"), F.col("set").alias("of_x")), "x")
              .join(held.select(F.col("key").alias("y"), F.col("set").alias("of_y")), "y"))
     return found.filter(similar("of_x", "of_y")).select("x", "y")
@@ -208,17 +243,14 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
     for linking. A null id is never a component's id: such rows show the smallest id of theirs, or null. Only id
     and text are read.
     """
-    frequent = frequent_shingles(docs, text_col, percent, shingle)
-    sets = written(docs.select(F.col(id_col).alias("id_"), indexed_sets(F.col(text_col), frequent, percent, shingle, BITS, docs.sparkSession)
-                               .alias("s")).select("id_", "s.*"), "sets")
-    postings = written(shared_postings(sets), "postings")
-    maps = sets.select("key", "map").groupBy("key").agg(F.first("map").alias("map"))
-    nodes = postings.groupBy("key").agg((F.count("*") / F.max(100 + (100 - percent) * F.col("n"))).alias("central"))
-    postings = postings.join(nodes.join(maps, "key"), "key")
-    first = written(linked(docs, sets, written(led_pairs(postings, percent), "led"), percent, shingle, id_col, text_col), "first-links")
-    known = components(first)
-    labelled = postings.join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    rest = linked(docs, sets, written(crossing_pairs(labelled, percent), "crossing"), percent, shingle, id_col, text_col)
+    how = (percent, shingle, id_col, text_col)
+    sets = written(arrow_texts(docs).select(F.col(id_col).alias("id_"), indexed_sets(F.col(text_col), percent, shingle).alias("s"))
+                   .select("id_", "s.*"), "sets")
+    postings = written(shared_postings(prefixes(docs, sets, *how)), "postings")
+    maps = written(sets.select("key", "n", "map").join(postings.select("key").distinct(), "key", "left_semi")
+                   .groupBy("key").agg(F.first("n").alias("n"), F.first("map").alias("map")), "maps")
+    first = written(linked(docs, sets, written(led_pairs(postings, maps, percent), "led"), *how), "first-links")
+    rest = linked(docs, sets, written(crossing_pairs(postings, maps, components(first), percent), "crossing"), *how)
     groups = components(first.union(rest))
     reps = sets.filter("n > 0").groupBy("key").agg(F.min("id_").alias("rep")).join(groups, "key", "left")
     ids = reps.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("rep").alias("component_id"))

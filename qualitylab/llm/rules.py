@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from qualitylab.llm.shared import covered, window_hashes, word_hashes
+from qualitylab.llm.shared import arrow_texts, covered, values, window_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WIDTH = 5
@@ -72,7 +72,7 @@ def measures(text: Column) -> Column:
     @arrow_udf(f"struct<{','.join(f'{m}:bigint' for m in MEASURES)}>")
     def measured(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            rows = np.array([measure(t) for t in column.to_pylist()], np.int64).reshape(-1, len(MEASURES))
+            rows = np.array([measure(t) for t in values(column)], np.int64).reshape(-1, len(MEASURES))
             yield pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(MEASURES))], names=list(MEASURES))
 
     return measured(text)
@@ -93,7 +93,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Null and empty texts measure 0 everywhere and so fail ``few_words`` alone. Ids may be null or repeat;
     other columns are not read. An empty table gives an empty ledger.
     """
-    measured = docs.select(F.col(id_col), measures(F.col(text_col)).alias("m" if id_col != "m" else "m_"))
+    measured = arrow_texts(docs).select(F.col(id_col), measures(F.col(text_col)).alias("m" if id_col != "m" else "m_"))
     return measured.select(id_col, f"{measured.columns[1]}.*").withColumn("failed", failures())
 
 

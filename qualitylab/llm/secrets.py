@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from qualitylab.llm.shared import arrow_texts, values
+
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 3.0
 #: Longest name, and longest value of one pair, in characters: a name or literal beyond them is no secret.
@@ -148,7 +150,7 @@ def secret_spans(text: Column, threshold: float = THRESHOLD) -> Column:
 
     @arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     def spans(column: pa.Array) -> pa.Array:
-        rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t, threshold)] for t in column.to_pylist()]
+        rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t, threshold)] for t in values(column)]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
 
     return spans(text)
@@ -159,7 +161,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     Null and empty texts have none (an empty array). Ids may be null or repeat; other columns are not read.
     """
-    return docs.select(F.col(id_col), secret_spans(F.col(text_col), threshold).alias("found"))
+    return arrow_texts(docs).select(F.col(id_col), secret_spans(F.col(text_col), threshold).alias("found"))
 
 
 def of_kinds(found: Column, *kinds: str) -> Column:
@@ -178,7 +180,7 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     @arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for t, places in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        for t, places in zip(values(texts), values(spans), strict=True):
             merged: list[list[int]] = []
             for s, e in sorted((p["start"], p["end"]) for p in places or ()):
                 if merged and s <= merged[-1][1]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,19 @@ _powers: dict[str, np.ndarray] = {}
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+#: Rows of one Arrow batch for a Python worker: texts may be long, and a worker holds a batch in and one out.
+BATCH_ROWS = 500
+
+
+def arrow_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, after lowering the session's Arrow batch to BATCH_ROWS rows where it is larger, so that a Python
+    worker's memory does not grow with the length of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the session's shared folder: later stages read its files, so a lost
     executor costs no recomputation."""
@@ -37,6 +51,12 @@ def fresh(name: str, *used: str) -> str:
     return name
 
 
+def values(column: pa.Array, at_once: int = 256) -> Iterator:
+    """The Python values of an Arrow column, turned a few at a time so that a batch of long texts stays small."""
+    for start in range(0, len(column), at_once):
+        yield from column.slice(start, at_once).to_pylist()
+
+
 def words_in(text: Column) -> Column:
     """Number of runs of characters other than blank and ``\\t`` to ``\\r``; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from qualitylab.llm.shared import arrow_texts, values
+
 #: Bytes (as characters) of new pieces in one call of the tokenizer, and pieces a process remembers.
 BATCH_CHARS = 1 << 18
 REMEMBERED = 1 << 20
@@ -96,7 +98,7 @@ def n_tokens(text: Column, tokenizer: str = "byte_bpe_50k.json") -> Column:
     def lengths(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = counter(tokenizer).count
         for column in columns:
-            yield pa.array(map(count, column.to_pylist()), pa.int64())
+            yield pa.array(map(count, values(column)), pa.int64())
 
     return lengths(text)
 
@@ -108,7 +110,7 @@ def token_counts(docs: DataFrame, limit: int = 1024, id_col: str = "doc_id", tex
     Null and empty texts count 0 bytes and 0 tokens. Ids may be null or repeat: rows are counted one by
     one. Other columns are not read, whatever their names. An empty table gives an empty table.
     """
-    counted = docs.select(
+    counted = arrow_texts(docs).select(
         F.col(id_col),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
         n_tokens(F.col(text_col), tokenizer).alias("n_tokens"),
