@@ -28,7 +28,7 @@ from qualitylab.llm.shared import LOWER, arrow_texts, values, window_hashes, wor
 SHINGLE, PERCENT = 4, 85
 #: A shingle in more prefixes than this goes last; how many such shingles are sent to the tasks at most (the most
 #: frequent; the order only decides the speed); how much more than the prefix is kept to replace them.
-FREQUENT, MAX_FREQUENT, SPARE = 64, 200_000, 1.25
+FREQUENT, MAX_FREQUENT, SPARE = 64, 200_000, 1.5
 #: Bits of a set's parity map, and ids that may be broadcast to pick the documents to verify.
 BITS, MAX_PICKED = 512, 2_000_000
 #: Sizes of neighbouring blocks differ by this factor, a little more than similar sets can.
@@ -57,6 +57,11 @@ def parity_map(values: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_map(found: np.ndarray) -> np.ndarray:
+    """A parity map for a set of over 2 * BITS elements, with about as many bits, a power of two; smaller sets need none."""
+    return parity_map(found, 1 << (len(found).bit_length() - 1)) if len(found) > 2 * BITS else np.empty(0, np.int64)
+
+
 def is_frequent(values_: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Which shingles have their upper 32 bits among ``frequent`` (sorted)."""
     upper = (values_ >> np.uint64(32)).astype(np.int64)
@@ -64,11 +69,12 @@ def is_frequent(values_: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def indexed_sets(text: Column, percent: int, shingle: int, frequent: np.ndarray | None = None) -> Column:
-    """``n``, ``key``, ``map`` and ``prefix`` of each text's set. With ``frequent`` the prefix is in the index's order; without,
+    """``n``, ``key``, ``map``, ``wide`` and ``prefix`` of each text's set. With ``frequent`` the prefix is in the index's order; without,
     it holds the smallest hashes, SPARE times the prefix."""
-    kind = pa.struct([("n", pa.int64()), ("key", pa.int64()), ("map", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    kind = pa.struct([("n", pa.int64()), ("key", pa.int64()), ("map", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())),
+                      ("prefix", pa.list_(pa.int64()))])
 
-    @arrow_udf("struct<n:bigint,key:bigint,map:array<bigint>,prefix:array<bigint>>")
+    @arrow_udf("struct<n:bigint,key:bigint,map:array<bigint>,wide:array<bigint>,prefix:array<bigint>>")
     def indexed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             rows = []
@@ -80,7 +86,8 @@ def indexed_sets(text: Column, percent: int, shingle: int, frequent: np.ndarray
                 else:
                     late = is_frequent(found, frequent)
                     first = np.concatenate([found[~late][:p], found[late][:p]])[:p]
-                rows.append({"n": len(found), "key": set_key(found), "map": parity_map(found, BITS), "prefix": first.view(np.int64)})
+                rows.append({"n": len(found), "key": set_key(found), "map": parity_map(found, BITS), "wide": wide_map(found),
+                             "prefix": first.view(np.int64)})
             yield pa.array(rows, kind)
 
     return indexed(text)
@@ -166,6 +173,22 @@ def maps_fit(x: str, y: str, percent: int) -> Column:
     return sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
+def wide_maps_fit(x: str, y: str, percent: int) -> Column:
+    """The same for the wide maps; one twice as long as the other is first folded onto itself."""
+    a, b = F.col(f"{x}.wide"), F.col(f"{y}.wide")
+    short = F.least(F.size(a), F.size(b))
+    either = lambda p, q: p.bitwiseXOR(q)
+    a, b = (F.when(F.size(m) > short, F.zip_with(F.slice(m, F.lit(1), short), F.slice(m, short + 1, short), either)).otherwise(m) for m in (a, b))
+    differing = F.aggregate(F.zip_with(a, b, either), F.lit(0), lambda total, word: total + F.bit_count(word))
+    return (short == 0) | (differing * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent))
+
+
+def joined_fit(pairs: DataFrame, maps: DataFrame, part: str, fit) -> DataFrame:
+    """The pairs whose ``part`` of the maps fit."""
+    x, y = (maps.select(F.col("key").alias(end), F.struct("n", part).alias(end * 2)) for end in ("x", "y"))
+    return pairs.join(x, "x").join(y, "y").filter(fit).select("x", "y")
+
+
 def led_pairs(postings: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Each set with the two leaders of each of its lists, where bounds allow."""
     nodes = postings.groupBy("key").agg((F.count("*") / F.max(100 + (100 - percent) * F.col("n"))).alias("central"))
@@ -177,21 +200,21 @@ def led_pairs(postings: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
            .select("s", F.explode(F.array("most.set", "drawn.set")).alias("l")))
     met = met.filter((F.col("s.key") != F.col("l.key")) & sizes_fit("s", "l", percent))
     pairs = met.select(F.least("s.key", "l.key").alias("x"), F.greatest("s.key", "l.key").alias("y")).distinct()
-    x, y = (maps.select(F.col("key").alias(end), F.struct("n", "map").alias(end * 2)) for end in ("x", "y"))
-    return pairs.join(x, "x").join(y, "y").filter(maps_fit("xx", "yy", percent)).select("x", "y")
+    return joined_fit(pairs, maps, "map", maps_fit("xx", "yy", percent))
 
 
 def crossing_pairs(postings: DataFrame, maps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of one list whose sets are not ``known`` to be connected, where bounds allow."""
-    rows = postings.join(maps.drop("n"), "key").join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    rows = postings.join(maps.select("key", "map"), "key").join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
     x, y = (rows.select("token", F.struct("key", "n", "at", "map", "label").alias(end)) for end in ("x", "y"))
     unlike = (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
     met = x.join(y, (x["token"] == y["token"]) & unlike & sizes_fit("x", "y", percent) & maps_fit("x", "y", percent))
     return met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
 
 
-def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def linked(docs: DataFrame, sets: DataFrame, maps: DataFrame, pairs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs of keys whose sets are similar, found by intersecting the sets themselves."""
+    pairs = written(joined_fit(pairs, maps, "wide", wide_maps_fit("xx", "yy", percent)), "close")
     ends = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
     picked = sets.select("key", "id_").join(ends, "key", "left_semi").groupBy("key").agg(F.min("id_").alias("id_"))
 
@@ -247,10 +270,10 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
     sets = written(arrow_texts(docs).select(F.col(id_col).alias("id_"), indexed_sets(F.col(text_col), percent, shingle).alias("s"))
                    .select("id_", "s.*"), "sets")
     postings = written(shared_postings(prefixes(docs, sets, *how)), "postings")
-    maps = written(sets.select("key", "n", "map").join(postings.select("key").distinct(), "key", "left_semi")
-                   .groupBy("key").agg(F.first("n").alias("n"), F.first("map").alias("map")), "maps")
-    first = written(linked(docs, sets, written(led_pairs(postings, maps, percent), "led"), *how), "first-links")
-    rest = linked(docs, sets, written(crossing_pairs(postings, maps, components(first), percent), "crossing"), *how)
+    maps = written(sets.select("key", "n", "map", "wide").join(postings.select("key").distinct(), "key", "left_semi")
+                   .groupBy("key").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.first("wide").alias("wide")), "maps")
+    first = written(linked(docs, sets, maps, written(led_pairs(postings, maps, percent), "led"), *how), "first-links")
+    rest = linked(docs, sets, maps, written(crossing_pairs(postings, maps, components(first), percent), "crossing"), *how)
     groups = components(first.union(rest))
     reps = sets.filter("n > 0").groupBy("key").agg(F.min("id_").alias("rep")).join(groups, "key", "left")
     ids = reps.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("rep").alias("component_id"))
