@@ -49,7 +49,7 @@ SENSITIVE = {
 }
 #: Words that mark a literal as no real value.
 PLACEHOLDERS = re.compile(
-    r"example|sample|changeme|change_me|placeholder|dummy|your[_-]|redacted|xxxx|\*{3}|\.{3}|^(?:none|null|true|false|test\w*|password|secret|token)$|[<{$%]",
+    r"example|sample|changeme|change_me|placeholder|dummy|your[_-]|redacted|xxxx|\*{3}|\.{3}|^(?:none|null|true|false|test\w*|password|secret|token)$|^[<{$%]|[$]\{|\{\{",
     re.I)
 
 
