@@ -158,7 +158,7 @@ def model_card(spark, d):
     card = writers.model_card(spark, "ridge on vectors", 64, 0, ["ridge"], {
         "train_rmse": row["rmse"], "train_r2": row["r2"], "n_samples": rows.count()})
     writers.write_json(card, path)
-    return readers.read_json(spark, path, ", ".join(f"{n} {t}" for n, t in card.dtypes), records=False).drop("training", "base_models")
+    return readers.read_json(spark, path, ", ".join(f"{n} {t}" for n, t in card.dtypes), records=False)
 
 
 @add("s11_saved_model")

@@ -9,7 +9,7 @@ from qualitylab.catalog.base import (
 )
 from qualitylab.catalog.data import STRATEGY_SQL
 from qualitylab.functions import features, fixed, text
-from qualitylab.operators import eda, encoding, joins, models, ordering
+from qualitylab.operators import eda, encoding, joins, ordering
 from qualitylab.sources import views
 
 catalog = Catalog()
@@ -64,7 +64,7 @@ def punctuation(spark, d):
     return _docs(spark, d, text.drop_punctuation(text.fold_to_ascii(response())), "bare")
 
 
-@add("t7_squeeze", f"{DOC}trim(regexp_replace(text, ' +', ' ', 'g')) AS squeezed FROM documents")
+@add("t7_squeeze", f"{DOC}trim(regexp_replace(text, '{SPACE}+', ' ', 'g')) AS squeezed FROM documents")
 def squeezed(spark, d):
     return _docs(spark, d, text.squeeze(response()), "squeezed")
 
@@ -224,18 +224,6 @@ def token_count(spark, d):
     return _docs(spark, d, text.token_count(response()).cast("long"), "token_count")
 
 
-# The registries joined to the prompts each strategy and model would serve.
-@add("t21_registries", f"""
-WITH {STRATEGY_SQL}, p AS (SELECT count(*) AS prompts FROM conversations WHERE role = 'user')
-SELECT strategy AS name, 'strategy' AS kind, prompts FROM st, p
-UNION ALL SELECT unnest({sql_list(models.MODEL_REGISTRY)}), 'model', prompts FROM p""")
-def registries(spark, d):
-    prompts = views.table(spark, d, "conversations").where("role = 'user'").agg(F.count("*")).scalar()
-    names = joins.strategy_table(spark).select(F.col("strategy").alias("name"), F.lit("strategy").alias("kind")).union(
-        models.list_models(spark).select("name", F.lit("model")))
-    return names.withColumn("prompts", prompts)
-
-
 @add("w_language_report", f"""
 WITH {views.RESPONSES_SQL}, l AS (SELECT resp.*, CAST(1 + 4 * quality AS DOUBLE) AS clarity_score FROM resp LEFT JOIN labels ON doc_id = id),
 m AS (SELECT language, clarity_score, length({clean_sql('response')}) AS cl, length(response) AS rl, len({words_sql('response')}) AS rw,

@@ -15,7 +15,7 @@ from qualitylab.functions import fixed
 
 # White space as Unicode text knows it, written out so that it does not hang on a
 # regex engine's idea of \s.
-SPACES = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 OTHER_SPACES = "".join(
     c for c in map(chr, range(1, sys.maxunicode + 1)) if c.isspace() and c != " "
 )
@@ -119,7 +119,12 @@ def drop_punctuation(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Collapse runs of blanks and trim."""
+    """Make every run of white space one blank, and trim."""
+    return F.trim(F.regexp_replace(text, f"{SPACES}+", " "))
+
+
+def single_blanks(text: Column) -> Column:
+    """The same for text whose only white space is the blank."""
     return F.trim(F.regexp_replace(text, " {2,}", " "))
 
 
@@ -128,7 +133,7 @@ def clean(text: Column, remove_numbers: bool = False) -> Column:
     out = F.lower(expand_contractions(strip_tags(fold_to_ascii(text))))
     if remove_numbers:
         out = drop_digits(out)
-    return F.coalesce(squeeze(drop_punctuation(out)), F.lit(""))
+    return F.coalesce(single_blanks(drop_punctuation(out)), F.lit(""))
 
 
 def split_words(text: Column) -> Column:

@@ -12,13 +12,18 @@ from pyspark.sql.types import DoubleType
 from qualitylab.operators import ordering
 
 
+#: Degrees of freedom from which the normal tail, with the first terms in 1/df, is exact to all printed digits,
+#: while the beta function's logarithms begin to cancel.
+LARGE_DF = 1e6
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz's method)."""
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 400):
+    for m in range(1, 100_000):
         for term in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -37,6 +42,9 @@ def student_two_sided(t: float | None, df: float | None) -> float | None:
     """Two-sided p-value of Student's t."""
     if t is None or df is None or math.isnan(t) or df <= 0:
         return None
+    if df > LARGE_DF:
+        z = t * (1 - 1 / (4 * df)) / math.sqrt(1 + t * t / (2 * df))
+        return math.erfc(abs(z) / math.sqrt(2))
     x = df / (df + t * t)
     if x >= 1:
         return 1.0
@@ -100,12 +108,12 @@ def wilcoxon(scored: DataFrame, a: str = "y_pred", b: str = "y_pred_b") -> DataF
     signs = sized.groupBy("size").agg(F.count_if(F.col("d") > 0).alias("up"))
     ranks = ordering.average_ranks(sized, [], "size").join(signs, "size")
     zeros = gaps.agg(F.count_if(F.col("d") == 0)).scalar()
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its cube leaves the integers
     sums = ranks.agg(
         F.sum("n").alias("rows"),
         F.sum(F.col("avg_rank") * F.col("up")).alias("w_up"),
         F.sum(F.col("avg_rank") * (n - F.col("up"))).alias("w_down"),
-        F.sum((n * n * n - n).cast("double")).alias("ties"),
+        F.sum(n * n * n - n).alias("ties"),
     ).withColumns({"w": F.least("w_up", "w_down"), "zeros": zeros})
     p = signed_rank_p("w", F.col("rows").cast("double"), "ties", F.col("zeros").cast("double"))
     return sums.select(

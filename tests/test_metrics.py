@@ -141,3 +141,20 @@ def test_summaries(spark):
     assert (described["count"], described["p50"], described["max"]) == (3, 2.0, 9.0)
     constant = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     assert sum(r["count"] for r in eda.histogram(constant, "x", 3).collect()) == 2
+
+
+def test_p_values_of_many_degrees_of_freedom():
+    import math
+
+    from qualitylab.operators import significance
+
+    for df in (1e6, 2e6, 1e9, 1e12, 1e14):
+        for t in (0.1, 1.0, 1.96, 4.0):
+            assert abs(significance.student_two_sided(t, df) - math.erfc(t / math.sqrt(2))) < 1e-6
+
+
+def test_wilcoxon_of_a_huge_tie_group(spark):
+    from qualitylab.operators import significance
+
+    rows = spark.range(3_000_000).selectExpr("id", "0D y_true", "1D y_pred", "2D y_pred_b")
+    assert significance.wilcoxon(rows).first()["n"] == 3_000_000

@@ -103,3 +103,7 @@ def test_features_match_plain_python(spark, small):
         assert r["has_list"] == int(bool(re.search(r"(\d\)|-\s|\*)", t)))
         assert r["paragraph_count"] == t.count("\n\n") + 1
         assert abs(r["avg_word_length"] - sum(map(len, words)) / max(1, len(words))) < 1e-9
+
+
+def test_squeeze_takes_all_white_space(spark):
+    assert one(spark, "\ta \n\n b  c ", text.squeeze) == "a b c"
