@@ -68,7 +68,7 @@ def shape(path: Column, depth: int = DEPTH) -> Column:
 
 def generalised(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``shapes`` (rows of ``host``, ``shape``, ``n`` and more) with ``template``: level by level, a segment that has under
-    MIN_PAGES pages or MIN_SHARE of its parent's pages becomes a wildcard."""
+    MIN_PAGES pages or MIN_SHARE of its parent's pages becomes a wildcard. A level is a written table: each reads the last twice."""
     rows = shapes.withColumn("template", F.col("shape"))
     for level in range(1, depth + 1):
         parent = F.slice("template", 1, level - 1)
@@ -79,8 +79,8 @@ def generalised(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
                 .select("host", "parent", "own", F.lit(True).alias("rare")))
         rows = rows.withColumn("parent", parent).withColumn("own", F.get("template", F.lit(level - 1)))
         wild = F.concat(F.col("parent"), F.array(F.lit(WILD)), F.slice("template", level + 1, depth + 1))
-        rows = rows.join(rare, ["host", "parent", "own"], "left").withColumn(
-            "template", F.when(F.col("rare"), wild).otherwise(F.col("template"))).drop("parent", "own", "rare")
+        rows = written(rows.join(rare, ["host", "parent", "own"], "left").withColumn(
+            "template", F.when(F.col("rare"), wild).otherwise(F.col("template"))).drop("parent", "own", "rare"), "generalised")
     return rows
 
 
@@ -98,8 +98,8 @@ def merged_branches(templates: DataFrame, depth: int = DEPTH) -> DataFrame:
         error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("labelled"))
         same = (F.col("labelled") == 0) | (F.abs(F.col("good") / F.nullif("labelled", F.lit(0)) - F.col("share")) <= Z * error)
         ups = judged.filter(same).select("host", "branch", F.lit(True).alias("up"))
-        rows = rows.join(ups, ["host", "branch"], "left").withColumn(
-            "branch", F.when(F.col("up"), F.slice("branch", 1, level - 1)).otherwise(F.col("branch"))).drop("up")
+        rows = written(rows.join(ups, ["host", "branch"], "left").withColumn(
+            "branch", F.when(F.col("up"), F.slice("branch", 1, level - 1)).otherwise(F.col("branch"))).drop("up"), "merged")
     return rows
 
 
@@ -135,7 +135,7 @@ def judged_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id",
     known = F.col("good_").isNotNull()
     shapes = marked.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.sum(known.cast("long")).alias("labelled"), F.sum(F.coalesce(F.col("good_"), F.lit(False)).cast("long")).alias("good"))
-    templates = written(generalised(written(shapes, "shapes")), "templates")
+    templates = generalised(written(shapes, "shapes"))
     judged = written(judged_branches(merged_branches(templates)).select("host", "shape", "branch", "purity"), "purity")
     own = F.when(F.col("purity") < purity, "block").otherwise("allow")
     return rows.join(judged, ["host", "shape"]).select(
