@@ -80,12 +80,12 @@ def _windows(relation: str, row: str, width: str) -> str:
 
 
 _LINES = rf"""
-WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS at
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
            FROM documents),
 t AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS core FROM l),
 b AS (SELECT core FROM t WHERE core <> '' GROUP BY core HAVING count(DISTINCT source) >= {lines.MIN_SITES})
 SELECT doc_id, count(*) AS n_lines, count(b.core) AS n_removed,
-       coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE b.core IS NULL), '') AS kept
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.core IS NULL), '') AS kept
 FROM t LEFT JOIN b USING (core) GROUP BY doc_id
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL"""
 
