@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
@@ -64,6 +65,15 @@ def counted_features(text: Column) -> Column:
     return counted(text)
 
 
+def int_lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a column of integer lists as views of its buffers, without a Python object for each number."""
+    out = []
+    for chunk in column.chunks:
+        ends, numbers = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [numbers[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring needs: one weight per bucket, and the bias."""
@@ -136,10 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = (docs.select(id_col, F.col(text_col).alias("text_")).filter(F.col("text_").isNotNull())
              .join(F.broadcast(chosen), id_col)  # max_rows short rows
              .groupBy(id_col, "label_").agg(F.min("text_").alias("text_")))
-    found = texts.select(id_col, "label_", counted_features(F.col("text_")).alias("f")).toArrow().to_pylist()
-    found.sort(key=lambda r: str(r[id_col]))
-    rows = [(np.array(r["f"]["buckets"], np.int64), np.array(r["f"]["counts"]), r["label_"]) for r in found]
-    return train(rows, **how)
+    found = texts.select(id_col, "label_", counted_features(F.col("text_")).alias("f")).toArrow()
+    buckets, counts = (int_lists(pc.struct_field(found["f"], part)) for part in ("buckets", "counts"))
+    ids, marks = found[id_col].to_pylist(), found["label_"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: str(ids[i]))
+    return train([(buckets[i], counts[i], marks[i]) for i in order], **how)
 
 
 def quality_score(text: Column, model: Model, spark) -> Column:
