@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from qualitylab.catalog.base import Catalog, quote
+from qualitylab.catalog.stats import REPORT_SQL
 from qualitylab.functions import fixed, scores
 from qualitylab.operators import eda, joins, metrics, models
 from qualitylab.session import scratch_path
@@ -132,7 +133,7 @@ def dictionary_check(spark, d):
     return joins.check_rules(views.table(spark, d, "documents"), RULES)
 
 
-@add("s9_report_sink")
+@add("s9_report_sink", REPORT_SQL)
 def report_sink(spark, d):
     path = scratch_path(spark, "report")
     report = metrics.evaluation_report(views.scored(spark, d), "user mean")
@@ -161,14 +162,17 @@ def model_card(spark, d):
     return readers.read_json(spark, path, ", ".join(f"{n} {t}" for n, t in card.dtypes), records=False)
 
 
-@add("s11_saved_model")
+@add("s11_saved_model", "SELECT vec_id AS id, CAST(0 AS DOUBLE) AS difference FROM embeddings")
 def saved_model(spark, d):
     rows = _embedded(spark, d).withColumn("numbers", vector_to_array("features"))
     flat = rows.select("id", "y", *[F.col("numbers")[i].alias(f"f{i}") for i in range(64)])
     plan = models.pipeline([f"f{i}" for i in range(64)], "ridge", models.LabelStats.of(flat))
     path = scratch_path(spark, "model")
-    writers.save_model(plan.fit(flat), path)
-    return writers.load_model(path).transform(flat).select("id", F.round("prediction", 6).alias("prediction"))
+    fitted = plan.fit(flat)
+    writers.save_model(fitted, path)
+    before = fitted.transform(flat).select("id", F.col("prediction").alias("fitted"))
+    after = writers.load_model(path).transform(flat).select("id", "prediction")
+    return after.join(before, "id").select("id", F.round(F.abs(F.col("prediction") - F.col("fitted")), 9).alias("difference"))
 
 
 @add("s12_external_tables", """
@@ -293,12 +297,12 @@ STRATEGY_SQL = f"st(strategy, system_prompt, template, description) AS (VALUES {
 
 
 @add("j4_prompts_by_strategy", W + STRATEGY_SQL + """
-SELECT conv_id, turn, strategy, length(system_prompt) AS system_chars
+SELECT conv_id, turn, text AS prompt, strategy, length(system_prompt) AS system_chars
 FROM conversations, st WHERE role = 'user'""")
 def prompts_by_strategy(spark, d):
     asked = views.table(spark, d, "conversations").where("role = 'user'").withColumnRenamed("text", "prompt")
     return joins.with_strategies(asked).select(
-        "conv_id", "turn", "strategy", F.char_length("system_prompt").cast("long").alias("system_chars"))
+        "conv_id", "turn", "prompt", "strategy", F.char_length("system_prompt").cast("long").alias("system_chars"))
 
 
 @add("j5_strategy_pairs", W + views.SCORES_SQL + """

@@ -152,28 +152,40 @@ def explained_variance(spark, d):
     return tfidf.explained_variance(projected, weights, 100).select("component", F.round("ratio", 6).alias("ratio"), F.round("cumulative", 6).alias("cumulative"))
 
 
-@add("j8_stacked_blocks", PAIRS + tfidf_sql("pr", "id", "prompt", PROMPT) + """
-SELECT id, 'prompt' AS block, count(*) AS terms, round(sum(weight), 4) AS weight FROM tw GROUP BY id""")
+def _block_sql(column: str, settings: tfidf.TfIdf) -> str:
+    return f"(SELECT *, dense_rank() OVER (ORDER BY term) - 1 AS place FROM ({PAIRS}{tfidf_sql('pr', 'id', column, settings)} SELECT id, term, weight FROM tw))"
+
+
+@add("j8_stacked_blocks", f"WITH a AS {_block_sql('prompt', PROMPT)}, b AS {_block_sql('response', RESPONSE)}" + """
+SELECT id, 'prompt' AS block, count(*) AS terms, round(sum(weight), 4) AS weight, CAST(sum(place) AS BIGINT) AS places FROM a GROUP BY id
+UNION ALL SELECT id, 'response', count(*), round(sum(weight), 4), CAST(sum(place + (SELECT max(place) + 1 FROM a)) AS BIGINT) FROM b GROUP BY id""")
 def stacked_blocks(spark, d):
     rows = _prompts(spark, d)
     first, second = PROMPT.fit(rows, "prompt"), RESPONSE.fit(rows, "response")
     width = first.count()
     both = tfidf.hstack([(PROMPT.transform(rows, "prompt", first), width), (RESPONSE.transform(rows, "response", second), second.count())])
-    return both.where(F.col("index") < width).groupBy("id").agg(
-        F.lit("prompt").alias("block"), F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("weight")
+    block = F.when(F.col("index") < width, "prompt").otherwise("response").alias("block")
+    return both.groupBy("id", block).agg(
+        F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("weight"), F.sum("index").alias("places")
     )
 
 
 def described(spark, d):
-    """Labelled documents with structural features; the target is their quality score."""
-    merged = joins.merge_labels(views.responses(spark, d), views.annotations(spark, d))
-    return features.with_text_features(merged.dropna(subset=["clarity_score"]))
+    """All documents with structural features, and the quality score of those that have one. Texts stay
+    below the join: only numbers meet the labels."""
+    numbers = features.with_text_features(views.responses(spark, d)).select("id", *fixed.STRUCTURAL_FEATURES)
+    return joins.merge_labels(numbers, views.annotations(spark, d), ["clarity_score"])
 
 
 def text_rows(spark, d):
     return models.assemble(described(spark, d), fixed.STRUCTURAL_FEATURES, "clarity_score")
 
 
+def labelled(rows):
+    """Rows to fit on; predictions cover the others too."""
+    return rows.dropna(subset=["y"])
+
+
 @add("v11_feature_vectors")
 def feature_vectors(spark, d):
     from pyspark.ml.functions import vector_to_array
@@ -316,7 +328,7 @@ def _fit_predict(query, model):
     @add(query)
     def run(spark, d):
         rows = text_rows(spark, d)
-        return models.fit_models(rows, [model]).predict(rows).select("id", F.round("y", 6).alias("y"), F.round(model, 6).alias("y_pred"))
+        return models.fit_models(labelled(rows), [model]).predict(rows).select("id", F.round("y", 6).alias("y"), F.round(model, 6).alias("y_pred"))
 
 
 for _query, _model in (("m1_ols", "linear"), ("m2_ridge", "ridge"), ("m3_lasso", "lasso"), ("m4_elastic_net", "elastic_net"),
@@ -351,23 +363,26 @@ def knn_regression(spark, d):
 
 
 def _split_rows(spark, d):
-    return sampling.random_split(text_rows(spark, d))
+    return sampling.random_split(labelled(text_rows(spark, d)))
 
 
 @add("m9_baseline_models")
 def baseline_models(spark, d):
-    train, held = _split_rows(spark, d)
-    fitted = models.fit_models(train, ["ridge", "lasso", "elastic_net", "random_forest", "decision_tree", "knn", "not a model"], SMALL)
+    """The whole registry at its defaults."""
+    rows = text_rows(spark, d)
+    train, _ = sampling.random_split(labelled(rows))
+    fitted = models.fit_models(train, [*models.MODEL_REGISTRY, "not a model"])
     names = list(fitted.models)
-    return fitted.predict(held, names).select("id", "y", *[F.round(n, 6).alias(n) for n in names])
+    return fitted.predict(rows, names).select("id", "y", *[F.round(n, 6).alias(n) for n in names])
 
 
 @add("m10_predict_best")
 def predict_best(spark, d):
-    train, held = _split_rows(spark, d)
+    rows = text_rows(spark, d)
+    train, held = sampling.random_split(labelled(rows))
     fitted = models.fit_models(train, ["ridge", "lasso", "decision_tree"])
     best = models.best_model(models.leaderboard(fitted, held))
-    return fitted.predict(held, [best]).select("id", F.lit(best).alias("model"), F.round(best, 6).alias("y_pred"))
+    return fitted.predict(rows, [best]).select("id", F.lit(best).alias("model"), F.round(best, 6).alias("y_pred"))
 
 
 @add("m11_leaderboard")
@@ -378,7 +393,7 @@ def leaderboard(spark, d):
 
 @add("m12_cross_validation")
 def cross_validation(spark, d):
-    return models.cross_validate(text_rows(spark, d), ["ridge", "lasso"], 5).select("model", "fold", F.round("rmse", 6).alias("rmse"), F.round("r2", 6).alias("r2"))
+    return models.cross_validate(labelled(text_rows(spark, d)), ["ridge", "lasso"], 5).select("model", "fold", F.round("rmse", 6).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
 @add("m13_best_model", SCORED + """
@@ -411,13 +426,13 @@ def voting(spark, d):
 
 @add("m17_feature_importance")
 def feature_importance(spark, d):
-    fitted = models.fit_models(text_rows(spark, d), ["random_forest"], SMALL)
+    fitted = models.fit_models(labelled(text_rows(spark, d)), ["random_forest"])
     return models.feature_importance(fitted.models["random_forest"], fixed.STRUCTURAL_FEATURES).select("feature", F.round("weight", 6).alias("weight"))
 
 
 @add("m17_top_coefficients")
 def top_coefficients(spark, d):
-    fitted = models.fit_models(text_rows(spark, d), ["ridge"])
+    fitted = models.fit_models(labelled(text_rows(spark, d)), ["ridge"])
     weights = models.feature_importance(fitted.models["ridge"], fixed.STRUCTURAL_FEATURES)
     return models.top_coefficients(weights, 10).select("side", "feature", F.round("weight", 6).alias("weight"))
 
@@ -447,7 +462,7 @@ def training_job(spark, d):
 
 @add("m21_model_card")
 def model_card(spark, d):
-    rows = text_rows(spark, d)
+    rows = labelled(text_rows(spark, d))
     summary = models.cv_summary(models.cross_validate(rows, ["ridge"], 5)).first()
     card = writers.model_card(spark, "structural ridge", len(fixed.STRUCTURAL_FEATURES), 0, ["ridge"],
                               {"cv_rmse": summary["cv_rmse_mean"], "cv_std": summary["cv_rmse_std"], "n_samples": rows.count()})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylab.catalog.base import Catalog, words_sql
+from qualitylab.catalog.base import Catalog, quote, words_sql
 from qualitylab.functions import scores, text
 from qualitylab.operators import eda, metrics, ordering, significance
 from qualitylab.sources import views
@@ -325,20 +325,26 @@ def _rank_columns() -> str:
     return ", ".join(out)
 
 
-@add("e21_evaluation_report", SCORED + f", rk AS (SELECT *, {_rank_columns()} FROM scored), "
+REPORT_SQL = (
+     SCORED + f", rk AS (SELECT *, {_rank_columns()} FROM scored), "
      + "wide AS (" + " UNION ALL ".join(_scope_sql(s, c) for s, c in (("global", None), ("category", "category"), ("difficulty", "difficulty"))) + "), "
      + "er AS (SELECT 'errors' AS scope, 'all' AS grp, " + ", ".join(f"{e} AS {n}" for n, e in ERRORS.items()) + " FROM scored) "
      + "SELECT 'user mean' AS model, scope, grp, metric, value FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE (scope, grp)) INTO NAME metric VALUE value) "
      + "UNION ALL SELECT 'user mean', scope, grp, metric, value FROM (UNPIVOT er ON COLUMNS(* EXCLUDE (scope, grp)) INTO NAME metric VALUE value)")
+
+
+@add("e21_evaluation_report", REPORT_SQL)
 def evaluation_report(spark, d):
     return metrics.evaluation_report(views.scored(spark, d), "user mean")
 
 
-@add("e22_report_summary")
+SHOWN = ["n", "rmse", "mae", "r2", "mape", "mean_residual", "std_residual", "pct_within_0_5", "pct_within_1_0"]
+
+
+@add("e22_report_summary", f"SELECT * FROM ({REPORT_SQL}) WHERE metric IN ({', '.join(map(quote, SHOWN))})")
 def report_summary(spark, d):
     report = metrics.evaluation_report(views.scored(spark, d), "user mean")
-    shown = F.col("metric").isin("n", "rmse", "mae", "r2", "mape", "mean_residual", "std_residual", "pct_within_0_5", "pct_within_1_0")
-    return report.where(shown).orderBy("scope", "grp", "metric")
+    return report.where(F.col("metric").isin(SHOWN)).orderBy("scope", "grp", "metric")
 
 
 @add("e23_residuals", SCORED + f"""

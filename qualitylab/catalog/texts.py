@@ -40,13 +40,14 @@ def tags(spark, d):
     return views.table(spark, d, "pages").select(F.col("page_id").alias("id"), text.strip_tags(F.col("html")).alias("plain"))
 
 
-# The text has no short forms, so a fixed suffix after each word gives it some.
-SHORT = "regexp_replace(text, ' the ', ' they''re the ', 'g')"
+# The text has no short forms: every one of them is put before each "the".
+FORMS = " " + " ".join(short for short, _ in fixed.CONTRACTIONS) + " the "
+SHORT = f"replace(text, ' the ', {quote(FORMS)})"
 
 
 @add("t3_expand_contractions", f"{DOC}{contractions_sql(SHORT)} AS expanded FROM documents")
 def contractions(spark, d):
-    return _docs(spark, d, text.expand_contractions(F.regexp_replace(response(), " the ", " they're the ")), "expanded")
+    return _docs(spark, d, text.expand_contractions(F.replace(response(), F.lit(" the "), F.lit(FORMS))), "expanded")
 
 
 @add("t4_lower_case", f"{DOC}lower(text) AS lowered FROM documents")

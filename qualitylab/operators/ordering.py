@@ -51,18 +51,33 @@ def with_running_sum(
 
 def counted(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """One row per group and value: its count ``n``, the rows sorted before it in its
-    group (``low``) and the group's size (``size``). Null values and groups drop out."""
+    group (``low``) and the group's size (``size``). Null values and groups drop out.
+
+    Rows are counted inside their sort partition, so no exchange has a group alone as its key. Only the
+    first and the last group of a sort partition can reach beyond it; what those hold elsewhere is a table of
+    at most two rows per sort partition.
+    """
     present = F.col(value).isNotNull()
     for group in groups:
         present = present & F.col(group).isNotNull()
     counts = df.where(present).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    keys = list(groups)
-    if not keys:
-        counts, keys = counts.withColumn("_all", F.lit(1)), ["_all"]
-    running = with_running_sum(counts, [*keys, value], "n", "_before")
-    spans = running.groupBy(*keys).agg(F.min("_before").alias("_start"), F.sum("n").alias("size"))
-    joined = running.join(spans, keys).withColumn("low", F.col("_before") - F.col("_start"))
-    return joined.drop("_before", "_start", "_all")
+    keys = ["_part", *groups]
+    laid_out = pin(counts.sort(*groups, value).withColumn("_part", F.spark_partition_id()))
+    held, earlier = W.partitionBy(*keys), W.partitionBy(*groups)
+    before = lambda window, by: window.orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    inside = laid_out.withColumns({
+        "low": F.coalesce(F.sum("n").over(before(held, value)), F.lit(0)), "size": F.sum("n").over(held),
+    })
+    split = laid_out.groupBy(*keys).agg(F.sum("n").alias("_held")).withColumns({
+        "_pieces": F.count(F.lit(1)).over(earlier),
+        "_size": F.sum("_held").over(earlier),
+        "_low": F.coalesce(F.sum("_held").over(before(earlier, "_part")), F.lit(0)),
+    }).where("_pieces > 1").drop("_pieces", "_held")
+    return (
+        inside.join(F.broadcast(split), keys, "left")  # at most two rows per sort partition
+        .withColumns({"low": F.col("low") + F.coalesce("_low", F.lit(0)), "size": F.coalesce("_size", "size")})
+        .drop("_part", "_size", "_low")
+    )
 
 
 def ranks_of(counts: DataFrame) -> DataFrame:

@@ -104,9 +104,9 @@ def paired_ttest(scored: DataFrame, a: str = "y_pred", b: str = "y_pred_b") -> D
 def wilcoxon(scored: DataFrame, a: str = "y_pred", b: str = "y_pred_b") -> DataFrame:
     """Signed-rank test on absolute errors: ``(n, statistic, p_value)``; zero differences drop out."""
     gaps = _error_difference(scored, a, b)
-    sized = gaps.where("d <> 0").withColumn("size", F.abs("d"))
-    signs = sized.groupBy("size").agg(F.count_if(F.col("d") > 0).alias("up"))
-    ranks = ordering.average_ranks(sized, [], "size").join(signs, "size")
+    sized = gaps.where("d <> 0").withColumn("gap", F.abs("d"))
+    signs = sized.groupBy("gap").agg(F.count_if(F.col("d") > 0).alias("up"))
+    ranks = ordering.average_ranks(sized, [], "gap").join(signs, "gap")
     zeros = gaps.agg(F.count_if(F.col("d") == 0)).scalar()
     n = F.col("n").cast("double")  # its cube leaves the integers
     sums = ranks.agg(

@@ -61,8 +61,8 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a source of few splits (one small file); large sources, which have
-    more splits than cores, are left as they are and not shuffled."""
+def spread(df: DataFrame, few: int = 8) -> DataFrame:
+    """Use more cores on a source of fewer than ``few`` splits (one small file, under a GB or so by Spark's
+    defaults). Anything larger is never shuffled, however many cores the cluster has."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(min(cores, few)) if df.rdd.getNumPartitions() < min(cores, few) else df
