@@ -31,8 +31,6 @@ SHINGLE, PERCENT = 4, 85
 FREQUENT, MAX_FREQUENT, SPARE = 64, 200_000, 1.5
 #: Bits of a set's parity map, and ids that may be broadcast to pick the documents to verify.
 BITS, MAX_PICKED = 512, 2_000_000
-#: Sizes of neighbouring blocks differ by this factor, a little more than similar sets can.
-_BLOCK = math.log(1 / (PERCENT / 100 - 0.01))
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -143,15 +141,17 @@ def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     return docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(picked, "id_", "left_semi").select("text_")
 
 
-def size_block(n: Column) -> Column:
-    """Number of a size's block, up to 62; sets that can match are in the same or neighbouring blocks."""
-    return F.least(F.floor(F.log(n) / _BLOCK), F.lit(62)).cast("int")
+def size_block(n: Column, percent: int) -> Column:
+    """Number of a size's block, up to 62. A block spans a factor a little above the one that similar sets' sizes can differ
+    by, so sets that can match are in the same or neighbouring blocks."""
+    width = -math.log(percent / 100 - 0.01)
+    return F.least(F.floor(F.log(n) / width), F.lit(62)).cast("int")
 
 
-def shared_postings(sets: DataFrame) -> DataFrame:
+def shared_postings(sets: DataFrame, percent: int) -> DataFrame:
     """(``token``, ``key``, ``n``, ``at``) of the prefix shingles in lists where the set has anything to meet."""
     postings = sets.select("key", "n", F.posexplode("prefix").alias("at", "token")).repartition("token")
-    block, one = size_block(F.col("n")), F.lit(1).cast("long")
+    block, one = size_block(F.col("n"), percent), F.lit(1).cast("long")
     lists = postings.groupBy("token").agg(
         F.count("*").alias("held"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("at").alias("last"),
         F.bit_or(F.call_function("shiftleft", one, block)).alias("blocks")).filter("low <> high AND last >= 0")
@@ -269,7 +269,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
     how = (percent, shingle, id_col, text_col)
     sets = written(arrow_texts(docs).select(F.col(id_col).alias("id_"), indexed_sets(F.col(text_col), percent, shingle).alias("s"))
                    .select("id_", "s.*"), "sets")
-    postings = written(shared_postings(prefixes(docs, sets, *how)), "postings")
+    postings = written(shared_postings(prefixes(docs, sets, *how), percent), "postings")
     maps = written(sets.select("key", "n", "map", "wide").join(postings.select("key").distinct(), "key", "left_semi")
                    .groupBy("key").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.first("wide").alias("wide")), "maps")
     first = written(linked(docs, sets, maps, written(led_pairs(postings, maps, percent), "led"), *how), "first-links")

@@ -236,6 +236,20 @@ def test_set_join_by_brute_force(docs, empty, spark):
     assert kept.columns == docs.columns
 
 
+def test_set_join_of_sizes_far_apart(spark):
+    """Sets whose sizes differ by nearly as much as the similarity allows, at several similarities."""
+    for percent in (60, 80, 85, 95):
+        rows = []
+        for i, small in enumerate(range(40, 140, 3)):
+            words = prose(3000 + i, 4 + 100 * small // percent).split()
+            words = [f"{w}{at}" for at, w in enumerate(words)]
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:small + 4]))]
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        got, ins = by_text(table, jaccard.similar_sets(table, percent, 5), "n_shingles", "component_id")
+        same(got, brute_components(ins, percent, 5))
+        assert all(d // 2 * 2 == c for d, _, c in got)
+
+
 def test_set_join_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 10)
     chance, base, rows = random.Random(5), prose(9, 160).split(), []
