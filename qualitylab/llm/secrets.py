@@ -36,8 +36,12 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SIGN = re.compile(r"=>|:=|[=:](?![=:/])|(?<=\w)>")
 #: A name, its closing quote or bracket, and a type such as ``: str``.
 _NAME = re.compile(r"""([A-Za-z_][\w.-]*)["'\]]*(?:[ \t]*:[ \t]*[\w.\[\]]+)?[ \t]*$""", re.A)
+#: An ampersand inside a bare word: none that parts the fields of a query or joins commands.
+_AMP = r"&(?!&|\s|$|(?:amp;)?[\w.%-]+=)"
+#: A name is a whole value: what goes on with another symbol is a bare word.
 _PART = re.compile(
-    r"""[ \t]*(?:(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_]\w*(?![\w./+=-]))|(?P<bare>[^\s"'<>;,&|(){}\[\]]+))""", re.A)
+    r"""[ \t]*(?:(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_]\w*(?=`?(?:[\s"'<>;,|(){}\[\]]|\Z|(?!"""
+    + _AMP + r""")&)|\+["']))|(?P<bare>(?:[^\s"'<>;,&|(){}\[\]]|""" + _AMP + r""")+))""", re.A)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\w\"'])", re.A)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 

@@ -93,6 +93,19 @@ def test_secret_spans(docs, empty, spark):
     assert one.select(secrets.redacted(F.col("text"), F.col("f"))).first()[0] == "x [SECRET] y"
 
 
+def test_unquoted_secrets_reach_to_the_end_of_the_value():
+    def found(t):
+        return [t[s:e] for s, _, e in secrets.find(t) if _ == 3]
+
+    for symbol in "!@#$%^&*~ö":
+        for word in (f"Summer{symbol}2024x#Q", f"aB3{symbol}kL9zQw2x"):
+            for t in ("DB_PASSWORD={}", "db_password: {}\n", "export DB_PASSWORD={} # note", "f(password={}, 1)", "[x]\npassword = {};"):
+                assert found(t.format(word)) == [word], (t, word)
+    assert found("?password=aB3kL9zQw2x&user=me") == ["aB3kL9zQw2x"] and found("PASSWORD=aB3kL9zQw2x&& run") == ["aB3kL9zQw2x"]
+    for t in ("password = a", "password=a+'zz9'", "f(password=a)", "password = a, 1", "`password=a`"):
+        assert found('a = "aB3$kL9zQw2x"\n' + t)[0] == "aB3$kL9zQw2x", t
+
+
 def test_boilerplate_lines_by_exact_sites(spark):
     rows = [(i, f"shared line {i % 4}\n  common \nown {i}\n", f"s{i % 20}") for i in range(200)] + [(900, None, "s1"), (901, "", None), (902, "common", None)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
