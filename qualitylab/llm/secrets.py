@@ -24,8 +24,9 @@ from qualitylab.llm.shared import arrow_texts, values
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 3.0
-#: Longest name, and longest value of one pair, in characters: a name or literal beyond them is no secret.
-NAME_CHARS, VALUE_CHARS = 80, 4096
+#: Characters from which the suffixes of a bare word are weighed together, and those kept of both ends of a
+#: literal; no placeholder is longer.
+LONG, ENDS = 4096, 16
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,14 +35,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _SIGN = re.compile(r"=>|:=|[=:](?![=:/])|(?<=\w)>")
-#: A name, its closing quote or bracket, and a type such as ``: str``.
-_NAME = re.compile(r"""([A-Za-z_][\w.-]*)["'\]]*(?:[ \t]*:[ \t]*[\w.\[\]]+)?[ \t]*$""", re.A)
+#: Read backwards from a sign: a type such as ``: str``, closing quotes or brackets, and the name.
+_NAME = re.compile(r"""\n?[ \t]*+(?:[\w.\[\]]++[ \t]*+:[ \t]*+)?["'\]]*+([\w.-]*[A-Za-z_])""", re.A)
 #: An ampersand inside a bare word: none that parts the fields of a query or joins commands.
 _AMP = r"&(?!&|\s|$|(?:amp;)?[\w.%-]+=)"
 #: A name is a whole value: what goes on with another symbol is a bare word.
 _PART = re.compile(
-    r"""[ \t]*(?:(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_]\w*(?=`?(?:[\s"'<>;,|(){}\[\]]|\Z|(?!"""
-    + _AMP + r""")&)|\+["']))|(?P<bare>(?:[^\s"'<>;,&|(){}\[\]]|""" + _AMP + r""")+))""", re.A)
+    r"""(?P<quoted>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')|(?P<name>[A-Za-z_]\w*+(?=`?(?:[\s"'<>;,|(){}\[\]]|\Z|(?!"""
+    + _AMP + r""")&)|\+["']))""", re.A)
+_BLANKS, _BARE = re.compile(r"[ \t]*+"), re.compile(r"""(?:[^\s"'<>;,&|(){}\[\]]|""" + _AMP + ")++", re.A)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\w\"'])", re.A)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -52,17 +54,56 @@ SENSITIVE = {
     "encryption": 1.0, "api": 1.0, "key": 1.0, "salt": 1.0,
 }
 #: Words that mark a literal as no real value.
-PLACEHOLDERS = re.compile(
-    r"example|sample|changeme|change_me|placeholder|dummy|your[_-]|redacted|xxxx|\*{3}|\.{3}|^(?:none|null|true|false|test\w*|password|secret|token)$|^[<{$%]|[$]\{|\{\{",
-    re.I)
+_INSIDE = re.compile(
+    r"example|sample|changeme|change_me|placeholder|dummy|your[_-]|redacted|xxxx|\*{3}|\.{3}|[$]\{|\{\{", re.I)
+_WHOLE = re.compile(r"(?:none|null|true|false|test\w*|password|secret|token)$|[<{$%]", re.I)
+_TEST = re.compile("test", re.I)
+
+
+@dataclass
+class Facts:
+    """What a literal's score needs: length, characters, both ends, a placeholder inside, and nothing but word characters."""
+
+    n: int
+    chars: Counter
+    head: str
+    tail: str
+    inside: bool
+    word: bool
+
+    @classmethod
+    def of(cls, text: str) -> Facts:
+        return cls(len(text), Counter(text), text[:ENDS], text[-ENDS:], bool(_INSIDE.search(text)), bool(re.fullmatch(r"\w*+", text)))
+
+    def __add__(self, other: Facts) -> Facts:
+        inside = self.inside or other.inside or bool(_INSIDE.search(self.tail + other.head))
+        return Facts(self.n + other.n, self.chars + other.chars, (self.head + other.head)[:ENDS], (self.tail + other.tail)[-ENDS:],
+                     inside, self.word and other.word)
+
+    def weight(self) -> float | None:
+        """The literal's part of a score; None if it is no secret whatever its name."""
+        if self.n < 6 or " " in self.chars or self.inside:
+            return None
+        # a longer text with this head is a whole placeholder only by its first character or as test...
+        if _WHOLE.match(self.head) if self.n <= ENDS else self.head[0] in "<{$%" or (self.word and _TEST.match(self.head)):
+            return None
+        kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "" for c in self.chars}
+        return (len(kinds) - 1) * 0.5 + max(0.0, entropy(self.chars, self.n) - 3.0)
 
 
 @dataclass
 class Value:
-    """A literal: its text, and the spans of the text that it is made of."""
+    """A literal: its places in the text, among them other values; its facts if it is joined; whether it was reported."""
 
-    text: str
-    spans: list[tuple[int, int]] = field(default_factory=list)
+    parts: list[tuple[int, int] | Value]
+    facts: Facts | None = None
+    reported: bool = False
+
+    def all_facts(self, text: str) -> Facts:
+        if self.facts is None:
+            (start, end), = self.parts
+            self.facts = Facts.of(text[start:end])
+        return self.facts
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,66 +117,106 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
-    """Name and value parts (kind, text, start, end) of every assignment, in order."""
+def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """Name and value parts (kind, start, end) of every assignment, in order. Parts reach to their true end; the end of a
+    bare word with signs inside is looked for once."""
+    back, word = text[::-1], (0, 0)
     for sign in _SIGN.finditer(text):
-        left = text[max(0, sign.start() - NAME_CHARS):sign.start()]
-        name = _NAME.search(left)
+        name = _NAME.match(back, len(text) - sign.start())
         if not name:
             continue
-        at, limit, parts = sign.end(), min(len(text), sign.end() + VALUE_CHARS), []
-        while part := _PART.match(text, at, limit):
-            kind = part.lastgroup
-            start, end = part.span(kind)
+        at, parts = sign.end(), []
+        while True:
+            at = _BLANKS.match(text, at).end()
+            if part := _PART.match(text, at):
+                kind, (start, end) = part.lastgroup, part.span()
+            else:
+                if not word[0] <= at < word[1]:
+                    bare = _BARE.match(text, at)
+                    if not bare:
+                        break
+                    word = bare.span()
+                kind, start, end = "bare", at, word[1]
             if kind != "quoted" and text[end:end + 1] in ("(", "["):  # a call or an element, no literal
                 break
-            if kind == "quoted":
-                start, end = start + 1, end - 1
-            parts.append((kind, text[start:end], start, end))
-            plus = _PLUS.match(text, part.end(), limit) if kind != "bare" else None
+            plus = _PLUS.match(text, end) if kind != "bare" else None
+            parts.append((kind, start + 1, end - 1) if kind == "quoted" else (kind, start, end))
             if not plus:
                 break
             at = plus.end()
         if parts:
-            yield name[1], parts
+            yield name[1][::-1], parts
+
+
+def entropy(chars: Counter, n: int) -> float:
+    """Bits per character of a text of ``n`` characters, from their frequencies."""
+    return -sum(p * math.log2(p) for p in (k / n for k in chars.values()) if p) if n else 0.0
 
 
-def entropy(text: str) -> float:
-    """Bits per character of the text's own character frequencies."""
-    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values()) if text else 0.0
+def sensitivity(name: str) -> float:
+    """How sensitive the parts of ``name`` make it."""
+    return sum(SENSITIVE.get(p, 0.0) for p in dict.fromkeys(p.lower() for p in _NAME_PARTS.findall(name)))
 
 
 def score(name: str, literal: str) -> float:
     """How likely ``literal`` is a secret, being the value of ``name``."""
-    if len(literal) < 6 or " " in literal or PLACEHOLDERS.search(literal):
-        return 0.0
-    parts = [p.lower() for p in _NAME_PARTS.findall(name)]
-    sensitive = sum(SENSITIVE.get(p, 0.0) for p in dict.fromkeys(parts))
-    if not sensitive:
-        return 0.0
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]"))
-    return sensitive + (kinds - 1) * 0.5 + max(0.0, entropy(literal) - 3.0)
+    weight, sensitive = Facts.of(literal).weight(), sensitivity(name)
+    return sensitive + weight if sensitive and weight is not None else 0.0
+
+
+def suffix_weights(text: str, start: int, end: int) -> dict[int, float | None]:
+    """``Facts.weight`` of the bare word from ``start`` and from every sign in it to ``end``, in one run from the right."""
+    places = [start, *(at for m in _SIGN.finditer(text, start, end) if start < (at := m.end()) < end)]
+    facts, last, out = Facts(0, Counter(), "", "", False, True), end, {}
+    for at in reversed(places):
+        facts.chars.update(text[at:last])
+        facts.n, facts.head = end - at, text[at:min(at + ENDS, end)]
+        facts.inside = facts.inside or bool(_INSIDE.search(text, at, min(last + ENDS, end)))
+        facts.word = facts.word and bool(re.fullmatch(r"\w*+", text[at:last]))
+        out[at], last = facts.weight(), at
+    return out
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> set[tuple[int, int]]:
-    """Spans of the literals that reach a sensitive name, directly or through other names."""
+    """Spans of the literals that reach a sensitive name, directly or through other names.
+
+    A joined value holds its parts and facts, not its text, and is reported once: time and memory follow the text's
+    length even where names double again and again.
+    """
     known: dict[str, Value] = {}
     out: set[tuple[int, int]] = set()
+    word, weights = 0, {}
     for name, parts in pairs(text):
-        value = Value("")
-        for kind, part, start, end in parts:
-            if kind == "name" and part in known:
-                source = known[part]
-                value.text, value.spans = value.text + source.text, value.spans + source.spans
-            elif part:
-                value.text, value.spans = value.text + part, [*value.spans, (start, end)]
-            if len(value.text) > VALUE_CHARS:
-                break
-        if len(value.text) > VALUE_CHARS:
-            continue
+        found = [known[text[s:e]] if kind == "name" and text[s:e] in known else Value([(s, e)]) for kind, s, e in parts if s < e]
+        if not found:
+            value = Value([], Facts.of(""))
+        elif len(found) == 1:
+            value = found[0]
+        else:
+            facts = found[0].all_facts(text)
+            for other in found[1:]:
+                facts += other.all_facts(text)
+            value = Value(found, facts)
         known[name.rpartition(".")[2]] = value
-        if score(name, value.text) >= threshold:
-            out.update(value.spans)
+        sensitive = sensitivity(name)
+        if not sensitive or value.reported:
+            continue
+        kind, start, end = parts[0]
+        if kind == "bare" and end - start > LONG:
+            if word != end or start not in weights:
+                word, weights = end, suffix_weights(text, start, end)
+            weight = weights[start]
+        else:
+            weight = value.all_facts(text).weight()
+        if weight is not None and sensitive + weight >= threshold:
+            todo = [value]
+            while todo:
+                one = todo.pop()
+                if isinstance(one, tuple):
+                    out.add(one)
+                elif not one.reported:
+                    one.reported = True
+                    todo += one.parts
     return out
 
 

@@ -106,6 +106,24 @@ def test_unquoted_secrets_reach_to_the_end_of_the_value():
         assert found('a = "aB3$kL9zQw2x"\n' + t)[0] == "aB3$kL9zQw2x", t
 
 
+def test_secrets_of_any_length():
+    chance = random.Random(5)
+    key = "".join(chance.choice("abcdefXYZ0123456789+/") for _ in range(20_000))
+    spans = lambda t: {t[s:e] for s, e in secrets.literal_spans(t)}
+    for form in ('secret_key = "{}"', "secret_key: {}\n", "<secret_key>{}</secret_key>", "k = '{}'; secret_key = k"):
+        assert spans(form.format(key)) == {key}
+    assert spans(f'secret_key = "{key[:3000]}" + "{key[3000:]}"') == {key[:3000], key[3000:]}
+    assert "aB3$kL9zQw2x" in spans('db_password: ' + "pkg." * 40 + 'Str = "aB3$kL9zQw2x"')  # the type itself is read as a value too
+    assert spans("password_" + "of_a_" * 40 + 'x = "aB3$kL9zQw2x"') == {"aB3$kL9zQw2x"}
+    assert not spans(f'secret_key = "{key}" + "exam" + "ple"') and not spans('secret_key = "' + "test" + "a1" * 9000 + '"')
+    assert spans('a = "aB3$kL9zQw2x"\n' + "a = a + a\n" * 300 + "password = a") == {"aB3$kL9zQw2x"}
+    run = "password=aB3," + "password=" * 20_000 + "aB3kL9zQw2x"  # one bare word of many pairs
+    assert len(secrets.literal_spans(run)) == 20_000
+    for a, b in (("exa", "mple99"), ("aB3$", "kL9zQw"), ("", "x1y2z3"), ("test", "ab12"), ("test" * 5, "$1")):
+        joined = secrets.Facts.of(a) + secrets.Facts.of(b)
+        assert joined == secrets.Facts.of(a + b) and joined.weight() == secrets.Facts.of(a + b).weight()
+
+
 def test_boilerplate_lines_by_exact_sites(spark):
     rows = [(i, f"shared line {i % 4}\n  common \nown {i}\n", f"s{i % 20}") for i in range(200)] + [(900, None, "s1"), (901, "", None), (902, "common", None)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
