@@ -16,10 +16,10 @@ from pyspark.sql.window import Window
 
 from qualitylab.llm.shared import written
 
-#: Levels of the tree; pages and share of its parent that a literal segment needs; z beyond which branches
-#: differ; pages' worth of prior; purity under which a template is blocked.
-DEPTH, MIN_PAGES, MIN_SHARE, Z, PRIOR, PURITY = 4, 5, 0.01, 2.0, 5.0, 0.5
-WILD, REST = "*", "**"
+#: Pages that a literal segment needs; z beyond which branches differ; pages' worth of prior; purity under
+#: which a template is blocked.
+MIN_PAGES, Z, PRIOR, PURITY = 5, 2.0, 5.0, 0.5
+WILD = "*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,37 +59,40 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
     return name, verdict
 
 
-def shape(path: Column, depth: int = DEPTH) -> Column:
-    """The first segments of a path, digits as wildcards; deeper ones are one ``**``."""
+def shape(path: Column) -> Column:
+    """All segments of a path, digits as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    plain = F.transform(F.slice(parts, 1, depth), lambda s: F.regexp_replace(s, "[0-9]+", r"\*"))
-    return F.when(F.size(parts) > depth, F.concat(plain, F.array(F.lit(REST)))).otherwise(plain)
+    return F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", r"\*"))
 
 
-def generalised(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``shapes`` (rows of ``host``, ``shape``, ``n`` and more) with ``template``: level by level, a segment that has under
-    MIN_PAGES pages or MIN_SHARE of its parent's pages becomes a wildcard. A level is a written table: each reads the last twice."""
+def deepest(rows: DataFrame, column: str) -> int:
+    """Segments of the longest array in ``column``; 0 without rows."""
+    return rows.agg(F.coalesce(F.max(F.size(column)), F.lit(0))).first()[0]
+
+
+def generalised(shapes: DataFrame) -> DataFrame:
+    """``shapes`` (rows of ``host``, ``shape``, ``n`` and more) with ``template``: level by level, down to the
+    longest path's end, a segment that has under MIN_PAGES pages becomes a wildcard. A level is a written table: each reads
+    the last twice."""
+    depth = deepest(shapes, "shape")
     rows = shapes.withColumn("template", F.col("shape"))
     for level in range(1, depth + 1):
         parent = F.slice("template", 1, level - 1)
         nodes = rows.filter(F.size("template") >= level).groupBy("host", parent.alias("parent"), F.col("template")[level - 1].alias("own")).agg(F.sum("n").alias("n"))
-        parents = nodes.groupBy("host", "parent").agg(F.sum("n").alias("all"))
-        rare = (nodes.join(parents, ["host", "parent"])
-                .filter((F.col("own") != WILD) & ((F.col("n") < MIN_PAGES) | (F.col("n") < MIN_SHARE * F.col("all"))))
-                .select("host", "parent", "own", F.lit(True).alias("rare")))
+        rare = nodes.filter((F.col("own") != WILD) & (F.col("n") < MIN_PAGES)).select("host", "parent", "own", F.lit(True).alias("rare"))
         rows = rows.withColumn("parent", parent).withColumn("own", F.get("template", F.lit(level - 1)))
-        wild = F.concat(F.col("parent"), F.array(F.lit(WILD)), F.slice("template", level + 1, depth + 1))
+        wild = F.concat(F.col("parent"), F.array(F.lit(WILD)), F.slice("template", level + 1, depth))
         rows = written(rows.join(rare, ["host", "parent", "own"], "left").withColumn(
             "template", F.when(F.col("rare"), wild).otherwise(F.col("template"))).drop("parent", "own", "rare"), "generalised")
     return rows
 
 
-def merged_branches(templates: DataFrame, depth: int = DEPTH) -> DataFrame:
+def merged_branches(templates: DataFrame) -> DataFrame:
     """``templates`` (``host``, ``template``, ``labelled``, ``good``) with ``branch``, the node that each ends in, and the
     node's own sums. A node moves up to its parent if its share of good labels is within Z standard errors of its
     siblings' common share, or if it has no labels."""
     rows = templates.withColumn("branch", F.col("template"))
-    for level in range(depth + 1, 0, -1):
+    for level in range(deepest(templates, "template"), 0, -1):
         nodes = rows.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
         siblings = Window.partitionBy("host", F.slice("branch", 1, level - 1))
         level_nodes = nodes.filter(F.size("branch") == level)

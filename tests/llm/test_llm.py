@@ -237,6 +237,16 @@ def test_url_rules_and_templates(spark):
     assert urls.judged_urls(pages, labels.limit(0)).filter("rule IS NULL AND verdict = 'block'").count() == 0
 
 
+def test_url_sections_at_any_depth_and_share(spark):
+    urls_ = [f"http://deep.net/a/b/c/d/{part}/{i}" for part in ("spam", "news") for i in range(30)]
+    urls_ += [f"http://wide.net/{chr(97 + s // 26)}{chr(97 + s % 26)}/{i}" for s in range(200) for i in range(10)]
+    bad = lambda u: "/spam/" in u or "/ca/" in u
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, not bad(u)) for i, u in enumerate(urls_)], "page_id long, good boolean")
+    got = {r.page_id: r.verdict for r in urls.judged_urls(pages, labels).collect()}
+    assert got == {i: "block" if bad(u) else "allow" for i, u in enumerate(urls_)}
+
+
 def brute_components(rows, percent, shingle):
     def made(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
