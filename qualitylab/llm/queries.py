@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitylab.llm import classifier, decontaminate, jaccard, lines, mixing, rules, secrets, sharding, tokens, urls
+from qualitylab.llm import classifier, codes, decontaminate, jaccard, lines, mixing, nearest, negatives, rules, secrets, sharding, tokens, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,9 +65,22 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.classified(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.7)
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compressed(table(spark, folder, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_secret_scan, op3_line_dedup, op4_decontamination, op5_source_mix, op6_sharding, op7_url_filter,
-    op8_jaccard_join, op9_quality_rules, op10_quality_classifier)}
+    op8_jaccard_join, op9_quality_rules, op10_quality_classifier, op11_vector_codes, op12_nearest_neighbours, op13_hard_negatives)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = r"[^\x20\x09-\x0D]+"
@@ -129,4 +142,42 @@ m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_c
 f AS (SELECT *, CAST({_FAILED} AS BIGINT) AS failed FROM m)
 SELECT *, failed & {rules.BASE.mask} <> 0 AS base_failed, failed & {rules.POLICY.mask} = 0 AS kept FROM f"""
 
-SQL = {"op3_line_dedup": _LINES, "op4_decontamination": _CONTAMINATION, "op8_jaccard_join": _JACCARD, "op9_quality_rules": _RULES}
+_WHOLE_VECTORS = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _scaled(factor: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _codes() -> str:
+    """Lloyd's rounds as one chain of tables: parts ``p``, codebooks ``c0``, ``c1``, ..., members ``a0``, ``a1``, ..."""
+    n, step = codes.PARTS, f"(len(v) // {codes.PARTS})"
+    chain = [f"v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, v) AS r, * FROM (SELECT vec_id, label, {_scaled(codes.SCALE)} AS v FROM embeddings WHERE {_WHOLE_VECTORS}))",
+             f"p AS MATERIALIZED (SELECT r, pos, v[pos * {step} + 1 : (pos + 1) * {step}] AS p FROM v, range({n}) AS u(pos))",
+             f"c0 AS MATERIALIZED (SELECT pos, r - 1 AS e, p AS c FROM p WHERE r <= {codes.ENTRIES})"]
+    for i in range(codes.ROUNDS + 1):
+        chain.append(f"a{i} AS MATERIALIZED (SELECT r, pos, min(list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 256 + e) AS m FROM p JOIN c{i} USING (pos) GROUP BY r, pos)")
+        chain.append(f"s{i} AS (SELECT pos, m % 256 AS e, k, CAST(floor(sum(p[k]) / count(*)) AS BIGINT) AS x FROM a{i} JOIN p USING (r, pos), unnest(range(1, len(p) + 1)) AS u(k) GROUP BY ALL)")
+        chain.append(f"c{i + 1} AS MATERIALIZED (SELECT c.pos, c.e, coalesce(any_value(s.c), c.c) AS c FROM c{i} AS c LEFT JOIN (SELECT pos, e, list(x ORDER BY k) AS c FROM s{i} GROUP BY pos, e) AS s USING (pos, e) GROUP BY c.pos, c.e, c.c)")
+    last = codes.ROUNDS
+    chain.append(f"o AS (SELECT r, string_agg(lower(printf('%02x', m % 256)), '' ORDER BY pos) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{last} GROUP BY r)")
+    chain.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM c{last})")
+    return ("WITH " + ",\n".join(chain) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 "
+            "FROM o JOIN v USING (r), h")
+
+
+_NEGATIVES = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_scaled(negatives.SCALE)} AS v
+           FROM embeddings WHERE label IS NOT NULL AND {_WHOLE_VECTORS}),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, b.r AS row,
+             CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, row) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.r, place ORDER BY s.score DESC, s.vec_id, s.row) AS rank
+      FROM p JOIN s ON s.r = p.r AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+      WHERE place <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}"""
+
+SQL = {"op3_line_dedup": _LINES, "op4_decontamination": _CONTAMINATION, "op8_jaccard_join": _JACCARD, "op9_quality_rules": _RULES,
+       "op11_vector_codes": _codes(), "op13_hard_negatives": _NEGATIVES}
