@@ -53,10 +53,11 @@ def in_place(members: DataFrame, codebooks: np.ndarray) -> DataFrame:
 
 def settled(resident: DataFrame, partitions: int) -> DataFrame:
     """The members after a round's moves: those that keep their entry stay in their partitions, the others migrate to
-    their new owner. Arrivals lie beside the residents, as ``partitions`` more partitions a round."""
+    their new owner. Arrivals lie beside the residents, as ``partitions`` more partitions a round. Movers are a written
+    table, so a plan reads the residents once and does not double with every round."""
     kept = ["row_", "of", "part"]
     stay = resident.filter("to = entry").select(*OWNER, *kept)
-    moved = resident.filter("to <> entry").select("position", F.col("to").alias("entry"), "salt", *kept)
+    moved = written(resident.filter("to <> entry").select("position", F.col("to").alias("entry"), "salt", *kept), "movers")
     return stay.union(moved.repartition(partitions, *OWNER))
 
 
@@ -94,17 +95,16 @@ def trained(base: DataFrame, width: int, parts: int, entries: int, rounds: int)
     salt = F.pmod(F.xxhash64("row_"), F.lit(salts)).cast("int").alias("salt")
     members = cells.select("position", F.col("judged.to").alias("entry"), salt, "row_", "of", "part")
     members = members.repartition(partitions, *OWNER).persist()
-    held, resident = [members], members
-    for _ in range(rounds):
-        after = updated(codebooks, members)  # reads, and so fills, what is resident
-        while len(held) > 1:
-            held.pop(0).unpersist()
-        if held[0] is not members and np.array_equal(after, codebooks):
+    before = resident = members
+    for done in range(rounds):
+        after = updated(codebooks, members)
+        if done and np.array_equal(after, codebooks):
             break  # from now on nothing moves
         codebooks = after
         resident = in_place(members, codebooks)
-        held.append(resident)
-        members = settled(resident, partitions)
+        members = settled(resident, partitions)  # writes the movers, and so fills what is resident
+        before.unpersist()
+        before = resident
     return resident, codebooks
 
 
