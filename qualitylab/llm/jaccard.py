@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql.window import Window
 
-from qualitylab.llm.shared import LOWER, arrow_texts, values, window_hashes, word_hashes, written
+from qualitylab.llm.shared import LOWER, arrow_texts, fresh, strong_hashes, values, window_hashes, written
 
 SHINGLE, PERCENT = 4, 85
 #: A shingle in more prefixes than this goes last; how many such shingles are sent to the tasks at most (the most
@@ -31,12 +32,14 @@ SHINGLE, PERCENT = 4, 85
 FREQUENT, MAX_FREQUENT, SPARE = 64, 200_000, 1.5
 #: Bits of a set's parity map, and ids that may be broadcast to pick the documents to verify.
 BITS, MAX_PICKED = 512, 2_000_000
+#: Rounds of new leaders at most (what they leave is formed pair by pair), and shingles ahead that tell whether a pair met before.
+TURNS, BEFORE = 2, 8
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; fewer words are one shingle, no words none."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-    return np.unique(window_hashes(word_hashes(words), min(shingle, len(words)))) if words else np.empty(0, np.uint64)
+    return np.unique(window_hashes(strong_hashes(words), min(shingle, len(words)))) if words else np.empty(0, np.uint64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -126,19 +129,26 @@ def prefixes(docs: DataFrame, sets: DataFrame, percent: int, shingle: int, id_co
     if not len(frequent):
         p = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
         return sets.select("key", "n", F.slice("prefix", F.lit(1), p.cast("int")).alias("prefix"))
-    ordered = written(sets.select("id_", "key", "n", reordered(F.col("prefix"), F.col("n"), frequent, percent).alias("prefix")), "prefixes")
-    short = ordered.filter("prefix IS NULL").groupBy("key").agg(F.min("id_").alias("id_"))
-    again = texts_of(docs, short.select("id_"), id_col, text_col).select(indexed_sets(F.col("text_"), percent, shingle, frequent).alias("s"))
-    again = again.select("s.key", "s.n", "s.prefix").join(short.select("key"), "key", "left_semi")
+    ordered = written(sets.select("row_", "key", "n", reordered(F.col("prefix"), F.col("n"), frequent, percent).alias("prefix")), "prefixes")
+    short = ordered.filter("prefix IS NULL").groupBy("key").agg(F.min("row_").alias("row_"))
+    again = texts_of(docs, short.select("row_"), id_col, text_col).select(indexed_sets(F.col("text_"), percent, shingle, frequent).alias("s"))
+    again = written(again.select("s.key", "s.n", "s.prefix"), "again")  # else the join's filter on the key reads every text
+    again = again.join(short.select("key"), "key", "left_semi")
     return ordered.filter("prefix IS NOT NULL").select("key", "n", "prefix").union(again.select("key", "n", "prefix"))
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``text_`` of the documents with these ids."""
-    picked = written(ids, "picked")
+def row_key(id_col: str, text_col: str) -> Column:
+    """What a row is read again by, null ids included. Rows that share it have equal texts, but for chance, and then
+    only more is read."""
+    return F.xxhash64(id_col, text_col)
+
+
+def texts_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``text_`` of the documents with these row keys."""
+    picked = written(keys, "picked")
     if picked.count() <= MAX_PICKED:
-        picked = F.broadcast(picked)  # at most MAX_PICKED ids; more take Spark's own join
-    return docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(picked, "id_", "left_semi").select("text_")
+        picked = F.broadcast(picked)  # at most MAX_PICKED keys; more take Spark's own join
+    return docs.select(row_key(id_col, text_col).alias("row_"), F.col(text_col).alias("text_")).join(picked, "row_", "left_semi").select("text_")
 
 
 def size_block(n: Column, percent: int) -> Column:
@@ -198,25 +208,54 @@ def led_pairs(postings: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
         F.max(F.struct(F.xxhash64("token", "key").alias("chance"), own.alias("set"))).alias("drawn"))
     met = (postings.select("token", own.alias("s")).join(leaders, "token")
            .select("s", F.explode(F.array("most.set", "drawn.set")).alias("l")))
-    met = met.filter((F.col("s.key") != F.col("l.key")) & sizes_fit("s", "l", percent))
-    pairs = met.select(F.least("s.key", "l.key").alias("x"), F.greatest("s.key", "l.key").alias("y")).distinct()
-    return joined_fit(pairs, maps, "map", maps_fit("xx", "yy", percent))
+    return bounded_pairs(met.filter(F.col("s.key") != F.col("l.key")), maps, percent)
+
+
+def bounded_pairs(met: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The different pairs of sets ``s`` and leaders ``l`` that the bounds allow."""
+    pairs = met.filter(sizes_fit("s", "l", percent)).select(F.least("s.key", "l.key").alias("x"), F.greatest("s.key", "l.key").alias("y"))
+    return joined_fit(pairs.distinct(), maps, "map", maps_fit("xx", "yy", percent))
+
 
+def open_postings(postings: DataFrame, known: DataFrame) -> DataFrame:
+    """``postings`` with each set's ``label``, the component it is known to be in, of lists that hold two components or more."""
+    rows = postings.join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return rows.join(mixed.select("token"), "token", "left_semi")
 
-def crossing_pairs(postings: DataFrame, maps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list whose sets are not ``known`` to be connected, where bounds allow."""
-    rows = postings.join(maps.select("key", "map"), "key").join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    x, y = (rows.select("token", F.struct("key", "n", "at", "map", "label").alias(end)) for end in ("x", "y"))
+
+def newly_led_pairs(rows: DataFrame, maps: DataFrame, tested: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each set of an open list with a leader from the component that holds most of the list, drawn anew each turn; pairs ``tested``
+    before are left out."""
+    own = F.struct("key", "n", "at")
+    drawn = F.struct(F.xxhash64(F.lit(turn), "token", "key").alias("chance"), own.alias("set"))
+    parts = rows.groupBy("token", "label").agg(F.count("*").alias("held"), F.max(drawn).alias("drawn"))
+    leaders = parts.groupBy("token").agg(F.max(F.struct("held", "drawn", "label")).alias("l"))
+    met = rows.select("token", "label", own.alias("s")).join(leaders, "token").filter(F.col("label") != F.col("l.label"))
+    return bounded_pairs(met.select("s", F.col("l.drawn.set").alias("l")), maps, percent).join(tested, ["x", "y"], "left_anti")
+
+
+def crossing_pairs(rows: DataFrame, maps: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one open list whose sets are not known to be connected, where bounds allow. A pair is formed where it first meets: not
+    where the sets share one of the BEFORE shingles that each has ahead of the list's own, for there it was formed."""
+    ahead = Window.partitionBy("key").orderBy("at").rowsBetween(-BEFORE, -1)
+    rows = rows.withColumn("before", F.collect_list("token").over(ahead)).join(maps.select("key", "map"), "key")
+    x, y = (rows.select("token", F.struct("key", "n", "at", "map", "label", "before").alias(end)) for end in ("x", "y"))
     unlike = (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-    met = x.join(y, (x["token"] == y["token"]) & unlike & sizes_fit("x", "y", percent) & maps_fit("x", "y", percent))
-    return met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
+    first = ~F.arrays_overlap("x.before", "y.before")
+    met = x.join(y, (x["token"] == y["token"]) & unlike & sizes_fit("x", "y", percent) & first & maps_fit("x", "y", percent))
+    return met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct().join(tested, ["x", "y"], "left_anti")
 
 
-def linked(docs: DataFrame, sets: DataFrame, maps: DataFrame, pairs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of keys whose sets are similar, found by intersecting the sets themselves."""
-    pairs = written(joined_fit(pairs, maps, "wide", wide_maps_fit("xx", "yy", percent)), "close")
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    picked = sets.select("key", "id_").join(ends, "key", "left_semi").groupBy("key").agg(F.min("id_").alias("id_"))
+def linked(docs: DataFrame, sets: DataFrame, maps: DataFrame, pairs: DataFrame, held: DataFrame | None, percent: int, shingle: int,
+           id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs of keys whose sets are similar, found by intersecting the sets themselves; and ``held``, the sets read for it, with those
+    of earlier rounds, which are not read again."""
+    close = written(joined_fit(pairs, maps, "wide", wide_maps_fit("xx", "yy", percent)), "close")
+    ends = close.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+    if held is not None:
+        ends = ends.join(held.select("key"), "key", "left_anti")
+    picked = sets.select("key", "row_").join(ends, "key", "left_semi").groupBy("key").agg(F.min("row_").alias("row_"))
 
     @arrow_udf("struct<key:bigint,set:binary>")
     def whole(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -233,11 +272,12 @@ def linked(docs: DataFrame, sets: DataFrame, maps: DataFrame, pairs: DataFrame,
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    held = texts_of(docs, picked.select("id_"), id_col, text_col).select(whole("text_").alias("w"))
-    held = held.groupBy("w.key").agg(F.first("w.set").alias("set"))
-    found = (pairs.join(held.select(F.col("key").alias("x"), F.col("set").alias("of_x")), "x")
+    new = texts_of(docs, picked.select("row_"), id_col, text_col).select(whole("text_").alias("w"))
+    new = written(new.groupBy("w.key").agg(F.first("w.set").alias("set")), "held")  # else the joins' filters on the key read every text
+    held = new if held is None else held.union(new)
+    found = (close.join(held.select(F.col("key").alias("x"), F.col("set").alias("of_x")), "x")
              .join(held.select(F.col("key").alias("y"), F.col("set").alias("of_y")), "y"))
-    return found.filter(similar("of_x", "of_y")).select("x", "y")
+    return found.filter(similar("of_x", "of_y")).select("x", "y"), held
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,34 +298,63 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("key", "label")
 
 
+def grouped(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``id_``, ``row_`` (the row key), ``n`` and ``label`` (a key of its component; null for an empty set) of every row."""
+    how = (percent, shingle, id_col, text_col)
+    sets = written(arrow_texts(docs).select(F.col(id_col).alias("id_"), row_key(id_col, text_col).alias("row_"),
+                                            indexed_sets(F.col(text_col), percent, shingle).alias("s"))
+                   .select("id_", "row_", "s.*"), "sets")
+    postings = written(shared_postings(prefixes(docs, sets, *how), percent), "postings")
+    maps = written(sets.select("key", "n", "map", "wide").join(postings.select("key").distinct(), "key", "left_semi")
+                   .groupBy("key").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.first("wide").alias("wide")), "maps")
+    tested = pairs = written(led_pairs(postings, maps, percent), "led")
+    found, held = linked(docs, sets, maps, pairs, None, *how)
+    links = written(found, "links")
+    groups = components(links)
+    for turn in range(TURNS):
+        rows = written(open_postings(postings, groups), "open")
+        pairs = written(newly_led_pairs(rows, maps, tested, percent, turn), "led")
+        found, held = linked(docs, sets, maps, pairs, held, *how)
+        more = written(found, "links")
+        tested = tested.union(pairs)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        groups = components(links)
+    pairs = written(crossing_pairs(written(open_postings(postings, groups), "open"), maps, tested, percent), "crossing")
+    groups = components(links.union(linked(docs, sets, maps, pairs, held, *how)[0]))
+    labels = groups.select("key", F.col("label").alias("led"))
+    rows = sets.select("id_", "row_", "n", "key").join(labels, "key", "left")
+    return written(rows.select("id_", "row_", "n", F.when(F.col("n") > 0, F.coalesce("led", "key")).alias("label")), "groups")
+
+
 def similar_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id that its set reaches by links.
 
     Sets link when 100 * intersection >= ``percent`` * union. Null, empty and blank texts have an empty set, link with nothing
-    and are their own component. Equal sets link, also those of repeated rows; rows that share an id are one document
-    for linking. A null id is never a component's id: such rows show the smallest id of theirs, or null. Only id
+    and are their own component. Equal sets link, also those of repeated rows; rows that share an id but not their set link only as
+    their sets do. A null id is never a component's id: such rows show the smallest id of theirs, or null. Only id
     and text are read.
     """
-    how = (percent, shingle, id_col, text_col)
-    sets = written(arrow_texts(docs).select(F.col(id_col).alias("id_"), indexed_sets(F.col(text_col), percent, shingle).alias("s"))
-                   .select("id_", "s.*"), "sets")
-    postings = written(shared_postings(prefixes(docs, sets, *how), percent), "postings")
-    maps = written(sets.select("key", "n", "map", "wide").join(postings.select("key").distinct(), "key", "left_semi")
-                   .groupBy("key").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.first("wide").alias("wide")), "maps")
-    first = written(linked(docs, sets, maps, written(led_pairs(postings, maps, percent), "led"), *how), "first-links")
-    rest = linked(docs, sets, maps, written(crossing_pairs(postings, maps, components(first), percent), "crossing"), *how)
-    groups = components(first.union(rest))
-    reps = sets.filter("n > 0").groupBy("key").agg(F.min("id_").alias("rep")).join(groups, "key", "left")
-    ids = reps.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("rep").alias("component_id"))
-    of_key = reps.select("key", F.coalesce("label", "key").alias("label")).join(ids, "label").select("key", "component_id")
-    full = sets.filter("n > 0").join(of_key, "key").select("id_", "n", "component_id")
-    empty = sets.filter("n = 0").select("id_", "n", F.col("id_").alias("component_id"))
+    rows = grouped(docs, percent, shingle, id_col, text_col)
+    ids = rows.filter("n > 0").groupBy("label").agg(F.min("id_").alias("component_id"))
+    full = rows.filter("n > 0").join(ids, "label").select("id_", "n", "component_id")
+    empty = rows.filter("n = 0").select("id_", "n", F.col("id_").alias("component_id"))
     return full.union(empty).select(F.col("id_").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, same columns, with one document of each component: the one with the smallest id. Rows with an empty set stay,
-    and so do rows without an id."""
-    found = similar_sets(docs, percent, shingle, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """``docs``, same columns, with one document of each component: the one with the smallest id (null ids last), and one of the
+    rows that repeat it. Rows with an empty set stay."""
+    rows = grouped(docs, percent, shingle, id_col, text_col).filter("n > 0")
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("id_").isNull().alias("unnamed"), "id_", "row_")).alias("best"))
+    times = rows.groupBy("label", "id_", "row_").agg(F.count("*").alias("times")).join(best, "label")
+    is_best = F.col("id_").eqNullSafe(F.col("best.id_")) & (F.col("row_") == F.col("best.row_"))
+    gone = written(times.filter(~is_best | (F.col("times") > 1)).select("id_", "row_", is_best.alias("repeated")), "gone")
+    row = fresh("row_", *docs.columns)
+    keyed = docs.withColumn(row, row_key(id_col, text_col))
+    same = (keyed[row] == gone["row_"]) & keyed[id_col].eqNullSafe(gone["id_"])
+    alone = keyed.join(gone, same, "left_anti").select(*docs.columns)
+    repeats = keyed.join(gone.filter("repeated"), same, "left_semi").groupBy(id_col, row)
+    one = repeats.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one")).select("one.*")
+    return alone.union(one)

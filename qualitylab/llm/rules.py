@@ -7,6 +7,7 @@ A policy names a version and the rules that reject; applying one, comparing two
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from qualitylab.llm.shared import arrow_texts, covered, values, window_hashes, word_hashes
+from qualitylab.llm.shared import arrow_texts, covered, strong_hashes, values, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WIDTH = 5
@@ -49,6 +50,16 @@ BASE = Policy("base", ("few_words", "repeated_words"))
 POLICY = Policy("v1", tuple(RULES))
 
 
+def repeated_windows(words: list[bytes], width: int = REPEAT_WIDTH) -> np.ndarray:
+    """Where the windows begin that occur twice or more. Hashes find them; the words themselves are then compared."""
+    _, which, times = np.unique(window_hashes(strong_hashes(words), width), return_inverse=True, return_counts=True)
+    likely = np.flatnonzero(times[which] > 1).tolist()
+    number = {w: i for i, w in enumerate({w for at in likely for w in words[at:at + width]})}
+    windows = [tuple(number[w] for w in words[at:at + width]) for at in likely]
+    found = Counter(windows)
+    return np.array([at for at, w in zip(likely, windows, strict=True) if found[w] > 1], np.int64)
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """The MEASURES of one text."""
     if not text:
@@ -56,9 +67,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     joined = np.frombuffer(b"".join(words), np.uint8)
-    windows = window_hashes(word_hashes(words), REPEAT_WIDTH)
-    _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
-    repeated = np.flatnonzero(times[which] > 1)
+    repeated = repeated_windows(words)
     lines = [line for line in raw.split(b"\n") if line.strip()]
     return (
         len(words), int(((joined & 0xC0) != 0x80).sum()), len(raw) - len(raw.translate(None, SYMBOLS)),

@@ -95,6 +95,25 @@ def word_hashes(words: Sequence[bytes]) -> np.ndarray:
     return mixed(out ^ (lengths.astype(np.uint64) * _BASE))
 
 
+def strong_hashes(words: Sequence[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process: every (byte, place) is spread on its own before the sum, so that no
+    arrangement of bytes collides by its structure."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths)
+    starts, out, first = ends - lengths, np.empty(len(words), np.uint64), 0
+    every = np.frombuffer(b"".join(words), np.uint8)
+    while first < len(words):
+        at = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, at + RUN // 8, "right")))
+        s, e = starts[first:last] - at, ends[first:last] - at
+        place = (np.arange(e[-1]) - np.repeat(s, e - s)).astype(np.uint64)
+        sums = np.zeros(int(e[-1]) + 1, np.uint64)
+        np.cumsum(mixed(((place << np.uint64(8)) | every[at:ends[last - 1]]) + _BASE), out=sums[1:])
+        out[first:last] = sums[e] - sums[s]
+        first = last
+    return mixed(out ^ (lengths.astype(np.uint64) * _BASE))
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` consecutive words, from the words' hashes; none if there are fewer."""
     n = len(hashes) - width + 1
