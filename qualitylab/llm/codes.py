@@ -53,12 +53,12 @@ def in_place(members: DataFrame, codebooks: np.ndarray) -> DataFrame:
 
 def settled(resident: DataFrame, partitions: int) -> DataFrame:
     """The members after a round's moves: those that keep their entry stay in their partitions, the others migrate to
-    their new owner. Arrivals lie beside the residents, as ``partitions`` more partitions a round. Movers are a written
-    table, so a plan reads the residents once and does not double with every round."""
+    their new owner. Partitions of arrivals are put together with partitions of residents where they lie, which is no shuffle,
+    so their number stays. Movers are a written table, so a plan reads the residents once and does not double with every round."""
     kept = ["row_", "of", "part"]
     stay = resident.filter("to = entry").select(*OWNER, *kept)
     moved = written(resident.filter("to <> entry").select("position", F.col("to").alias("entry"), "salt", *kept), "movers")
-    return stay.union(moved.repartition(partitions, *OWNER))
+    return stay.union(moved.repartition(partitions, *OWNER)).coalesce(partitions)
 
 
 def updated(codebooks: np.ndarray, members: DataFrame) -> np.ndarray:
