@@ -390,7 +390,7 @@ def arg_max(spark, d):
 SELECT event_id AS id, event_type AS grp, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2 AS avg_rank FROM events""")
 def average_ranks(spark, d):
     rows = views.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("grp"), "value")
-    return rows.join(ordering.average_ranks(rows, ["grp"], "value"), ["grp", "value"]).select("id", "grp", "avg_rank")
+    return ordering.placed(rows.dropna(), "value", {"": ["grp"]}, "_v").select("id", "grp", ordering.place_rank("_v").alias("avg_rank"))
 
 
 @add("w2_row_position", COMP + "SELECT id, row_number() OVER (ORDER BY composite_score DESC, id) AS position FROM comp")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from qualitylab.functions.stats import correlation
 from qualitylab.operators import ordering
+from qualitylab.session import pin
 
 
 def group_summary(
@@ -121,18 +122,21 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 
 def box_plot(df: DataFrame, group: str, column: str) -> DataFrame:
-    """Quartiles, whiskers inside 1.5 IQR and the number of outliers per group."""
-    quartiles = ordering.exact_quantiles(df, [group], column, [0.25, 0.5, 0.75], "q").select(
+    """Quartiles, whiskers inside 1.5 IQR and the number of outliers per group.
+
+    The rows are read, counted and sorted once; what meets the quartiles again are the counted values, not the rows.
+    """
+    counts = pin(ordering.counted(df, [group], column))
+    quartiles = ordering.quantiles_of(counts, [group], column, [0.25, 0.5, 0.75], "q").select(
         group, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "med", "q3"))]
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)
-    whiskers = df.select(group, column).dropna().join(quartiles, group).groupBy(group).agg(
+    return counts.select(group, column, "n").join(quartiles, group).groupBy(group, "q1", "med", "q3").agg(
         F.min(F.when(inside, F.col(column))).alias("whisker_low"),
         F.max(F.when(inside, F.col(column))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),
     )
-    return quartiles.join(whiskers, group)
 
 
 def label_balance(df: DataFrame, label: str) -> DataFrame:

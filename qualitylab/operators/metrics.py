@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -62,34 +63,32 @@ def within(limit: float) -> Column:
 
 
 # --- tables ---------------------------------------------------------------------------
+def scoped_metrics(scored: DataFrame, scopes: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """All nine metrics and the row count in every scope (a name and its group columns), one row per group.
+
+    Truth, prediction and absolute error are sorted one after the other, each once for all scopes; a row carries its
+    places along, so nothing is joined on a value or a group. Rows whose group is null count in the other scopes only.
+    """
+    keys = list(dict.fromkeys(c for groups in scopes.values() for c in groups))
+    rows = scored.select(*keys, TRUE, PRED).dropna(subset=[TRUE, PRED]).withColumn("_error", F.abs(_residual()))
+    for side, column in (("_t", TRUE), ("_p", PRED), ("_e", "_error")):
+        rows = ordering.placed(rows, column, scopes, side)
+    out = {}
+    for scope, groups in scopes.items():
+        ranks = {f"{side}_rank": ordering.place_rank(f"{side}{scope}") for side in ("_t", "_p")}
+        wide = rows.dropna(subset=list(groups)) if groups else rows
+        out[scope] = wide.withColumns(ranks).groupBy(*groups).agg(
+            F.count(F.lit(1)).alias("n"), rmse().alias("rmse"), mae().alias("mae"), r2().alias("r2"),
+            mape().alias("mape"), ordering.place_median(f"_e{scope}", "_error").alias("medae"),
+            max_error().alias("max_error"), pearson_r().alias("pearson_r"),
+            correlation("_t_rank", "_p_rank").alias("spearman_r"), explained_variance().alias("explained_variance"),
+        )
+    return out
+
+
 def regression_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All nine metrics and the row count, one row per group (one row without ``by``)."""
-    keys = list(by)
-    rows = scored.select(*keys, TRUE, PRED).dropna()
-    algebraic = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), rmse().alias("rmse"), mae().alias("mae"), r2().alias("r2"),
-        mape().alias("mape"), max_error().alias("max_error"), pearson_r().alias("pearson_r"),
-        explained_variance().alias("explained_variance"),
-    )
-    # Truth, prediction and absolute error are sorted together, in one pass.
-    sides = [
-        F.struct(F.lit(kind).alias("_kind"), value.alias("_v"))
-        for kind, value in (("t", F.col(TRUE)), ("p", F.col(PRED)), ("e", F.abs(_residual())))
-    ]
-    order = ordering.counted(rows.select(*keys, F.inline(F.array(*sides))), ["_kind", *keys], "_v")
-    middle = ordering.quantiles_of(order.where("_kind = 'e'"), keys, "_v", [0.5], "_q").select(
-        *keys, F.col("_q")[0].alias("medae")
-    )
-    ranks = [
-        ordering.ranks_of(order.where(F.col("_kind") == kind)).withColumnRenamed("_v", column)
-        for kind, column in (("t", TRUE), ("p", PRED))
-    ]
-    rank = ordering.correlate_ranks(rows, keys, TRUE, PRED, *ranks)
-    if keys:
-        joined = algebraic.join(middle, keys).join(rank, keys)
-    else:  # one row each: scalar subqueries, not a join without a key
-        joined = algebraic.withColumns({"medae": middle.scalar(), "spearman_r": rank.scalar()})
-    return joined.select(*keys, "n", *METRICS)
+    return scoped_metrics(scored, {"": by})[""].select(*by, "n", *METRICS)
 
 
 def tidy(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str], digits: int = 4) -> DataFrame:
@@ -238,20 +237,18 @@ def evaluation_report(
 ) -> DataFrame:
     """Whole report as tidy rows ``(model, scope, grp, metric, value)``.
 
-    Global and per-group metrics share one pass: every row is counted once per scope.
+    Global and per-group metrics share their sorts, see ``scoped_metrics``; no row is repeated.
     """
-    scopes = [F.struct(F.lit("global").alias("scope"), F.lit("all").alias("grp"))]
-    for scope, column in (("category", category), ("difficulty", difficulty)):
-        if column in scored.columns:
-            scopes.append(
-                F.struct(F.lit(scope).alias("scope"), F.col(column).cast("string").alias("grp"))
-            )
-    spread = scored.select(F.inline(F.array(*scopes)), TRUE, PRED)
-    wide = regression_metrics(spread, ["scope", "grp"]).where("n >= 2 or scope = 'global'")
+    scopes = {"global": []}
+    scopes |= {scope: [column] for scope, column in (("category", category), ("difficulty", difficulty)) if column in scored.columns}
+    parts = []
+    for scope, wide in scoped_metrics(scored, scopes).items():
+        group = F.col(scopes[scope][0]).cast("string") if scopes[scope] else F.lit("all")
+        large = wide.where("n >= 2") if scopes[scope] else wide
+        named = large.select(F.lit(scope).alias("scope"), group.alias("grp"), "n", *METRICS)
+        parts.append(tidy(named, ["scope", "grp"], ["n", *METRICS]))
     errors = error_analysis(scored)
-    parts = tidy(wide, ["scope", "grp"], ["n", *METRICS]).unionByName(
-        errors.select(F.lit("errors").alias("scope"), F.lit("all").alias("grp"), "*").unpivot(
-            ["scope", "grp"], errors.columns, "metric", "value"
-        )
-    )
-    return parts.select(F.lit(model).alias("model"), "scope", "grp", "metric", "value")
+    parts.append(errors.select(F.lit("errors").alias("scope"), F.lit("all").alias("grp"), "*").unpivot(
+        ["scope", "grp"], errors.columns, "metric", "value"
+    ))
+    return reduce(DataFrame.unionByName, parts).select(F.lit(model).alias("model"), "scope", "grp", "metric", "value")

@@ -8,12 +8,13 @@ Values are counted before sorting, so a value held by a third of all rows is one
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qualitylab.functions.stats import correlation
 from qualitylab.session import pin
 
 _IN_PARTITION_BITS = 33  # monotonically_increasing_id: partition << 33 | row in partition
@@ -128,29 +129,68 @@ def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str = "
     )
 
 
-def correlate_ranks(
-    df: DataFrame, groups: Sequence[str], x: str, y: str, x_ranks: DataFrame, y_ranks: DataFrame,
-    name: str = "spearman_r",
-) -> DataFrame:
-    """Pearson correlation of given ranks (centred and scaled, so sums stay well conditioned)."""
-    keys = list(groups)
-    pairs = df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_pairs"))
-    centred = (F.col("avg_rank") - (F.col("size") + 1) / 2) / F.col("size")
-    for side, column, ranks in (("_rx", x, x_ranks), ("_ry", y, y_ranks)):
-        pairs = pairs.join(ranks.select(*keys, column, centred.alias(side)), [*keys, column])
-    total = lambda a, b: F.sum(F.col("_pairs") * F.col(a) * F.col(b))
-    return pairs.groupBy(*keys).agg(
-        F.try_divide(
-            total("_rx", "_ry"), F.sqrt(total("_rx", "_rx") * total("_ry", "_ry"))
-        ).alias(name)
+def placed(df: DataFrame, value: str, scopes: Mapping[str, Sequence[str]], name: str = "") -> DataFrame:
+    """``df`` with each row's place by ``value`` in every scope (a name and its group columns; none: all rows): columns
+    ``{name}{scope}_low`` (rows of its group that are smaller), ``_ties`` (equal, itself included) and ``_size`` (all).
+    Null values must be dropped before; a row whose group is null gets nulls in that scope.
+
+    The rows are sorted once for all scopes, equal values spread over as many partitions as they fill. Places are counted
+    inside a partition; what the partitions before it hold of a group, and of the values that run over a border, are
+    sums of at most three cells for each partition and combination of groups. No exchange has a value or a group as its key.
+    """
+    seq = F.monotonically_increasing_id()
+    laid_out = pin(df.withColumn("_seq", seq).sort(value, "_seq").withColumn("_part", F.spark_partition_id()).drop("_seq"))
+    borders = laid_out.groupBy("_part").agg(F.min(value).alias("_first"), F.max(value).alias("_last"))
+    border = F.when((F.col(value) == F.col("_first")) | (F.col(value) == F.col("_last")), F.col(value))
+    columns = list(dict.fromkeys(c for groups in scopes.values() for c in groups))
+    cells = pin(
+        laid_out.join(F.broadcast(borders), "_part")  # one row per sort partition
+        .groupBy("_part", *columns, border.alias("_edge")).agg(F.count(F.lit(1)).alias("_n"))
     )
+    rows = laid_out.repartition("_part")  # all windows below lie inside these partitions
+    for scope, groups in scopes.items():
+        by, out = list(groups), f"{name}{scope}"
+        upto = lambda window: window.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        held = cells.groupBy("_part", *by).agg(F.sum("_n").alias("_n")).select(
+            "_part", *by, F.coalesce(F.sum("_n").over(upto(W.partitionBy(*by))), F.lit(0)).alias("_before"),
+            F.sum("_n").over(W.partitionBy(*by)).alias(f"{out}_size"),
+        )
+        over = W.partitionBy(*by, "_edge")
+        ties = cells.where("_edge is not null").groupBy("_part", *by, "_edge").agg(F.sum("_n").alias("_n")).select(
+            "_part", *by, F.col("_edge").alias(value), F.count(F.lit(1)).over(over).alias("_pieces"),
+            F.sum("_n").over(over).alias("_all"), F.coalesce(F.sum("_n").over(upto(over)), F.lit(0)).alias("_earlier"),
+        ).where("_pieces > 1").drop("_pieces")
+        inside = W.partitionBy("_part", *by)
+        rows = rows.withColumns({
+            f"{out}_low": F.rank().over(inside.orderBy(value)) - 1,
+            f"{out}_ties": F.count(F.lit(1)).over(W.partitionBy("_part", *by, value)),
+        })
+        rows = rows.join(held, ["_part", *by], "left").join(ties, ["_part", *by, value], "left")
+        rows = rows.withColumns({
+            f"{out}_low": (F.col("_before") + F.col(f"{out}_low") - F.coalesce("_earlier", F.lit(0))).cast("long"),
+            f"{out}_ties": F.when(F.col("_before").isNotNull(), F.coalesce("_all", f"{out}_ties")).cast("long"),
+        }).drop("_before", "_all", "_earlier")
+    return rows.drop("_part")
+
+
+def place_rank(prefix: str) -> Column:
+    """Average rank from the columns of ``placed``: ties share the mean of their ranks."""
+    return F.col(f"{prefix}_low") + (F.col(f"{prefix}_ties") + 1) / 2
+
+
+def place_median(prefix: str, value: str) -> Column:
+    """Aggregate: the median of ``value`` of a group, from the columns of ``placed``."""
+    low, ties, last = F.col(f"{prefix}_low"), F.col(f"{prefix}_ties"), F.col(f"{prefix}_size") - 1
+    at = lambda place: F.max(F.when((low <= place) & (place < low + ties), F.col(value)))
+    return (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
 
 
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, name: str = "spearman_r") -> DataFrame:
-    """Spearman's rho per group."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranks = [average_ranks(both, groups, column) for column in (x, y)]
-    return correlate_ranks(both, groups, x, y, *ranks, name)
+    """Spearman's rho per group: the rows are sorted by ``x``, then, with their ranks, by ``y``."""
+    rows = df.select(*groups, x, y).dropna()
+    for side, column in (("_x", x), ("_y", y)):
+        rows = placed(rows, column, {"": groups}, side).withColumn(f"{side}_rank", place_rank(side))
+    return rows.groupBy(*groups).agg(correlation("_x_rank", "_y_rank").alias(name))
 
 
 def top(df: DataFrame, k: int, *order_by: str | Column) -> DataFrame:
