@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from qualitylab.catalog.base import SPACE, Catalog, letters_sql, sql_list, tokens_sql, words_sql
+from qualitylab.catalog.base import (
+    SPACE, Catalog, deletion_sql, drawn_sql, letters_sql, root_sql, sql_list, swaps_sql, synonyms_sql, tokens_sql, uniform_sql, words_sql,
+)
 from qualitylab.functions import augment, features, fixed, scores, text
 from qualitylab.operators import augmenting, encoding, ensembles, joins, knn, models, ordering, sampling, tfidf
 from qualitylab.plans import scoring, training
@@ -248,6 +250,22 @@ def _fine(spark, d):
     return views.responses(spark, d).withColumn("category", F.concat_ws("-", "category", "language"))
 
 
+BALANCED = f"""
+WITH fine AS (SELECT doc_id AS id, source || '-' || lang AS category, text FROM documents),
+c AS (SELECT category, count(*) AS n FROM fine GROUP BY ALL),
+m AS (SELECT id, category, text, row_number() OVER (PARTITION BY category ORDER BY md5(id || '|42'), id) - 1 AS k FROM fine),
+e AS (SELECT category, n, unnest(range(1, 11 - n)) AS d FROM c WHERE n < 10),
+x AS (SELECT id, id || '|' || d AS key, m.category, text FROM (SELECT *, {drawn_sql(root_sql('category', 42, 'row'), 'd')} % n AS k FROM e) AS e JOIN m USING (category, k)),
+{synonyms_sql('x', 2, fixed.SYNONYMS)}"""
+
+
+@add("p6_balanced_rows", BALANCED + """
+SELECT x.id, category, syn.text AS response, 'category_balance' AS augmentation_strategy FROM x JOIN syn USING (key)
+UNION ALL SELECT id, category, text, NULL FROM fine""")
+def balanced_rows(spark, d):
+    return sampling.balance_categories(_fine(spark, d), min_samples=10).select("id", "category", "response", "augmentation_strategy")
+
+
 @add("p6_balanced_counts", """
 WITH c AS (SELECT source || '-' || lang AS category, count(*) AS n FROM documents GROUP BY ALL)
 SELECT category, greatest(n, 10) AS rows, greatest(10 - n, 0) AS added FROM c""")
@@ -260,32 +278,39 @@ def balanced_counts(spark, d):
 LOCAL_SYNONYMS = {"that": ["which"], "with": ["along", "beside"], "from": ["since"], "this": ["such"], "dans": ["dedans", "parmi"], "para": ["hacia"]}
 
 
+KEYED = "WITH k AS (SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS key, text FROM documents), "
+
+
 def _reworded(spark, d, column):
     return views.responses(spark, d).select("id", column.alias("response"))
 
 
-@add("g1_synonym_replacement")
+@add("g1_synonym_replacement", KEYED + synonyms_sql("k", 2, LOCAL_SYNONYMS) + " SELECT id, text AS response FROM syn")
 def synonym_replacement(spark, d):
     return _reworded(spark, d, augment.synonym_replacement(response(), F.col("id"), 2, synonyms=LOCAL_SYNONYMS))
 
 
-@add("g2_random_deletion")
+@add("g2_random_deletion", KEYED + deletion_sql("k", 0.1) + " SELECT id, text AS response FROM del")
 def random_deletion(spark, d):
     return _reworded(spark, d, augment.random_deletion(response(), F.col("id")))
 
 
-@add("g3_random_swap", f"SELECT doc_id AS id, array_to_string(list_sort({words_sql('text')}), ' ') AS words FROM documents")
+@add("g3_random_swap", KEYED + swaps_sql("k", 3) + " SELECT id, text AS response FROM swp")
 def random_swap(spark, d):
-    swapped = augment.random_swap(response(), F.col("id"), 3)
-    return views.responses(spark, d).select("id", F.array_join(F.sort_array(text.split_words(swapped)), " ").alias("words"))
+    return _reworded(spark, d, augment.random_swap(response(), F.col("id"), 3))
 
 
-@add("g4_shuffle_sentences")
+@add("g4_shuffle_sentences", KEYED + f"""
+s AS (SELECT id, key, text, string_split(regexp_replace(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g'), '([.!?]){SPACE}+', '\\1' || chr(1), 'g'), chr(1)) AS s,
+             {root_sql('key', 42, 'sentence')} AS r FROM k),
+t AS (SELECT id, r, unnest(s) AS part, unnest(range(len(s))) AS i FROM s),
+j AS (SELECT id, string_agg(part, ' ' ORDER BY {drawn_sql('r', 'i')}, i) AS text FROM t GROUP BY id)
+SELECT id, CASE WHEN len(s) <= 1 THEN s.text ELSE j.text END AS response FROM s LEFT JOIN j USING (id)""")
 def shuffle_sentences(spark, d):
     return _reworded(spark, d, augment.shuffle_sentences(response(), F.col("id")))
 
 
-@add("g5_back_translation")
+@add("g5_back_translation", KEYED + synonyms_sql("k", 3, LOCAL_SYNONYMS) + "," + swaps_sql("syn", 1) + " SELECT id, text AS response FROM swp")
 def back_translation(spark, d):
     return _reworded(spark, d, augment.random_swap(augment.synonym_replacement(response(), F.col("id"), 3, synonyms=LOCAL_SYNONYMS), F.col("id")))
 
@@ -307,17 +332,23 @@ def prompt_paraphrase(spark, d):
     return asked.select("conv_id", "turn", augment.prompt_paraphrase(prompt, F.col("conv_id")).alias("prompt"))
 
 
-@add("g7_noisy_scores")
+@add("g7_noisy_scores", COMP + f"""
+, n AS (SELECT id, composite_score, {root_sql('CAST(id AS VARCHAR)', 42, 'noise', '')} AS r FROM comp)
+SELECT id, round(least(greatest(composite_score + sqrt(-2 * ln({uniform_sql('r', '0')})) * cos(2 * pi() * {uniform_sql('r', '1')}) * 0.05, 1.0), 5.0), 6) AS composite_score FROM n""")
 def noisy_scores(spark, d):
-    return comp(spark, d).select("id", augment.noisy_score(F.col("composite_score"), F.col("id"), 0.05).alias("composite_score"))
+    noisy = augment.noisy_score(F.col("composite_score"), F.col("id"), 0.05)
+    return comp(spark, d).select("id", F.round(noisy, 6).alias("composite_score"))
 
 
-@add("g8_augmented_frame", """
-WITH s(tag) AS (VALUES ('synonym_replacement'), ('random_deletion'))
-SELECT doc_id AS id, source AS category, CAST(NULL AS VARCHAR) AS augmentation_strategy FROM documents
-UNION ALL SELECT doc_id, source, tag FROM documents, s""")
+@add("g8_augmented_frame", f"""
+WITH a AS (SELECT doc_id AS id, doc_id || '|synonym_replacement' AS key, text FROM documents),
+b AS (SELECT doc_id AS id, doc_id || '|random_deletion' AS key, text FROM documents),
+{synonyms_sql('a', 2, fixed.SYNONYMS)}, {deletion_sql('b', 0.1)},
+every AS (SELECT doc_id AS id, text, CAST(NULL AS VARCHAR) AS augmentation_strategy FROM documents
+  UNION ALL SELECT id, text, 'synonym_replacement' FROM syn UNION ALL SELECT id, text, 'random_deletion' FROM del)
+SELECT id, source AS category, every.text AS response, augmentation_strategy FROM every JOIN documents ON doc_id = id""")
 def augmented_frame(spark, d):
-    return augmenting.augment_dataframe(views.responses(spark, d), copies=2).select("id", "category", "augmentation_strategy")
+    return augmenting.augment_dataframe(views.responses(spark, d), copies=2).select("id", "category", "response", "augmentation_strategy")
 
 
 # --- models ---------------------------------------------------------------------------------

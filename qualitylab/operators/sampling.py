@@ -119,7 +119,7 @@ def oversampled(
     members = df.join(counts.select(category), category, "left_semi").withColumn(
         "_row", F.row_number().over(order)
     )
-    drawn = F.pmod(F.xxhash64(category, "_draw", F.lit(seed)), F.col("_n")) + 1
+    drawn = augment.drawn(augment.root(F.col(category), seed, "row"), F.col("_draw")) % F.col("_n") + 1
     draws = counts.select(
         category, "_n", F.explode(F.sequence(F.lit(1), F.lit(min_samples) - F.col("_n"))).alias("_draw")
     ).select(category, "_draw", drawn.cast("int").alias("_row"))
@@ -132,7 +132,7 @@ def balance_categories(
 ) -> DataFrame:
     """All rows plus reworded extra rows of small categories, tagged ``category_balance``."""
     extra = oversampled(df, category, min_samples, key, seed)
-    reworded = augment.synonym_replacement(F.col(text_col), F.struct(key, "_draw"), 2, seed)
+    reworded = augment.synonym_replacement(F.col(text_col), F.concat_ws("|", F.col(key).cast("string"), "_draw"), 2, seed)
     extra = extra.withColumn(text_col, reworded).drop("_draw").withColumn(
         "augmentation_strategy", F.lit("category_balance")
     )

@@ -150,3 +150,13 @@ def test_sources(spark, tmp_path):
     assert readers.read_csv(spark, str(tmp_path / "out"), "id int, t string", multiline=True).first()["t"] == 'say "hi",\nthen\\go'
     with pytest.raises(Exception):
         readers.read_csv(spark, str(tmp_path / "missing.csv"), "labelled_text").count()
+
+
+def test_each_swap_has_a_place_of_its_own(spark):
+    """Three swaps of a long text move words at three places, not three times at one."""
+    from qualitylab.functions import augment
+
+    words = [f"w{i}" for i in range(400)]
+    rows = spark.createDataFrame([(i, " ".join(words)) for i in range(20)], "id long, response string")
+    moved = [sum(a != b for a, b in zip(r[0].split(), words)) for r in rows.select(augment.random_swap(F.col("response"), F.col("id"), 3)).collect()]
+    assert all(m in (3, 4, 5, 6) for m in moved) and max(moved) == 6
