@@ -241,6 +241,21 @@ def score_bands(spark, d):
     return metrics.score_bands(views.scored(spark, d))
 
 
+def student_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t: Simpson's rule over the density from 0 to |t| (at most 40, beyond which nothing is left)."""
+    density = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - 0.5 * ln(pi() * {df}) - ({df} + 1) / 2 * ln(1 + u * u / {df}))"
+    nodes = f"SELECT i, i * least(abs({t}), 40) / 4000 AS u FROM range(4001) AS x(i)"
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"greatest(0.0, 1 - 2 * (SELECT sum({weight} * {density}) FROM ({nodes})) * least(abs({t}), 40) / 12000)"
+
+
+def normal_sql(z: str) -> str:
+    """The same of the normal distribution."""
+    nodes = f"SELECT i, i * least(abs({z}), 40) / 4000 AS u FROM range(4001) AS x(i)"
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"greatest(0.0, 1 - 2 * (SELECT sum({weight} * exp(-u * u / 2)) FROM ({nodes})) / sqrt(2 * pi()) * least(abs({z}), 40) / 12000)"
+
+
 DIFF = SCORED + ", df AS (SELECT abs(y_true - y_pred) - abs(y_true - y_pred_b) AS d FROM scored) "
 
 
@@ -249,7 +264,9 @@ def paired_ttest(spark, d):
     return significance.paired_ttest(views.scored(spark, d)).select("n", "t_statistic")
 
 
-@add("e15_paired_ttest_p")
+@add("e15_paired_ttest_p", DIFF + f"""
+, s AS (SELECT count(d) AS n, CAST(count(d) - 1 AS DOUBLE) AS f, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t FROM df)
+SELECT n, round(t, 4) AS t_statistic, round({student_sql('t', 'f')}, 6) AS p_value FROM s""")
 def paired_ttest_p(spark, d):
     return significance.paired_ttest(views.scored(spark, d))
 
@@ -261,7 +278,11 @@ def wilcoxon(spark, d):
     return significance.wilcoxon(views.scored(spark, d)).select("n", "statistic")
 
 
-@add("e16_wilcoxon_p")
+@add("e16_wilcoxon_p", DIFF + f"""
+, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS k, count(*) OVER (PARTITION BY abs(d)) AS c FROM df WHERE d <> 0),
+s AS (SELECT count(*) AS n, CAST(count(*) AS DOUBLE) AS m, least(sum(k) FILTER (d > 0), sum(k) FILTER (d < 0)) AS w, sum(c * c - 1.0) AS ties FROM r),
+z AS (SELECT *, (w - m * (m + 1) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24) AS z FROM s)
+SELECT n, round(w, 4) AS statistic, round({normal_sql('z')}, 6) AS p_value FROM z""")
 def wilcoxon_p(spark, d):
     return significance.wilcoxon(views.scored(spark, d))
 
@@ -275,7 +296,12 @@ def strategy_ttests(spark, d):
     return significance.pairwise_ttests(comp(spark, d)).drop("p_value", "significant")
 
 
-@add("e17_strategy_ttests_p")
+@add("e17_strategy_ttests_p", COMP + f"""
+, s AS (SELECT strategy, count(*) AS n, avg(composite_score) AS m, var_samp(composite_score) AS v FROM comp GROUP BY ALL),
+t AS (SELECT a.strategy AS strategy_a, b.strategy AS strategy_b, a.m - b.m AS diff, CAST(a.n + b.n - 2 AS DOUBLE) AS f,
+      (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS t FROM s a JOIN s b ON a.strategy < b.strategy),
+p AS (SELECT *, {student_sql('t', 'f')} AS p FROM t)
+SELECT strategy_a, strategy_b, round(diff, 3) AS mean_diff, round(t, 3) AS t_statistic, round(p, 4) AS p_value, CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant FROM p""")
 def strategy_ttests_p(spark, d):
     return significance.pairwise_ttests(comp(spark, d))
 
