@@ -422,9 +422,44 @@ def leaderboard(spark, d):
     return models.leaderboard(models.fit_models(train, ["linear", "ridge", "lasso", "elastic_net", "decision_tree"]), held, train, 5)
 
 
+LINEAR_MODELS = ["linear", "ridge", "lasso", "elastic_net"]
+
+
 @add("m12_cross_validation")
 def cross_validation(spark, d):
-    return models.cross_validate(labelled(text_rows(spark, d)), ["ridge", "lasso"], 5).select("model", "fold", F.round("rmse", 6).alias("rmse"), F.round("r2", 6).alias("r2"))
+    """All linear models at their defaults, five folds, from one scan; the trees' folds are in ``m11_leaderboard``."""
+    rows = labelled(text_rows(spark, d))
+    return models.cross_validate(rows, LINEAR_MODELS, 5).select("model", "fold", F.round("rmse", 6).alias("rmse"), F.round("r2", 6).alias("r2"))
+
+
+ONE_FEATURE = f"""
+WITH r AS (SELECT doc_id AS id, CAST(len({words_sql('text')}) AS DOUBLE) AS x, 1.0 + 4 * quality AS y, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n
+           FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+f AS (SELECT *, CAST(CASE WHEN k < (n % 5) * (n // 5 + 1) THEN k // (n // 5 + 1) ELSE n % 5 + (k - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM r)"""
+
+
+@add("m12_one_feature_folds", ONE_FEATURE + """
+, m AS (SELECT t.fold, regr_slope(f.y, f.x) AS s, regr_intercept(f.y, f.x) AS i FROM (SELECT DISTINCT fold FROM f) AS t JOIN f ON f.fold <> t.fold GROUP BY t.fold)
+SELECT 'linear' AS model, fold, round(sqrt(avg((y - i - s * x) ^ 2)), 6) AS rmse, round(1 - sum((y - i - s * x) ^ 2) / (var_pop(y) * count(*)), 6) AS r2
+FROM f JOIN m USING (fold) GROUP BY fold""")
+def one_feature_folds(spark, d):
+    words = views.responses(spark, d).select("id", text.token_count(response()).cast("double").alias("x"))
+    rows = joins.merge_labels(words, views.annotations(spark, d), ["clarity_score"])
+    rows = labelled(models.assemble(rows, ["x"], "clarity_score"))
+    return models.cross_validate(rows, ["linear"], 5).select("model", "fold", F.round("rmse", 6).alias("rmse"), F.round("r2", 6).alias("r2"))
+
+
+@add("m18_one_feature_grid", ONE_FEATURE.replace("row_number() OVER (ORDER BY doc_id) - 1 AS k", "md5(doc_id || '|42') AS h").replace(", count(*) OVER () AS n", "").partition(",\nf AS")[0] + f"""
+, t AS (SELECT *, substr(h, 1, 8) < '{round(0.8 * 16**8):08x}' AS train FROM r),
+s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) / stddev_pop(x) AS b FROM t WHERE train),
+g(alpha) AS (VALUES (0.01), (0.1), (1.0), (10.0)),
+w AS (SELECT alpha, mx, my, b / (1 + alpha / n) / sx AS w FROM s, g)
+SELECT printf('{{''alpha'': %s}}', CAST(CAST(alpha AS DOUBLE) AS VARCHAR)) AS params, round(sqrt(avg((y - my - w * (x - mx)) ^ 2)), 6) AS rmse FROM t, w WHERE NOT train GROUP BY alpha""")
+def one_feature_grid(spark, d):
+    words = views.responses(spark, d).select("id", text.token_count(response()).cast("double").alias("x"))
+    rows = joins.merge_labels(words, views.annotations(spark, d), ["clarity_score"])
+    train, held = sampling.random_split(labelled(models.assemble(rows, ["x"], "clarity_score")))
+    return models.grid_search(train, held, "ridge", fixed.SEARCH_GRIDS["ridge"])[2].select("params", F.round("rmse", 6).alias("rmse"))
 
 
 @add("m13_best_model", SCORED + """

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -21,8 +22,10 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitylab.operators import knn, metrics, ordering, sampling
+from qualitylab.operators import gram, knn, metrics, ordering, sampling
 
+#: The depth at which the tree learner ends.
+DEEPEST = 30
 COLUMNS = {"featuresCol": "features", "labelCol": "y"}
 
 
@@ -194,11 +197,19 @@ def out_of_fold(
 def cross_validate(
     train: DataFrame, names: Sequence[str], folds: int = 5, params: Mapping[str, Mapping] | None = None
 ) -> DataFrame:
-    """RMSE and R² per model and fold."""
-    held = out_of_fold(train, names, folds, params)
-    rows = [F.struct(F.lit(n).alias("model"), F.col(n).alias("y_pred")) for n in names]
-    long = held.select("fold", F.col("y").alias("y_true"), F.inline(F.array(*rows)))
-    return long.groupBy("model", "fold").agg(metrics.rmse().alias("rmse"), metrics.r2().alias("r2"))
+    """RMSE and R² per model and fold. Linear models of all folds come from one scan (see ``gram``); the others are refitted."""
+    params = params or {}
+    linear = {n: {**MODEL_REGISTRY[n].params, **params.get(n, {})} for n in names if n in gram.LINEAR}
+    others = [n for n in names if n not in linear]
+    schema = "model string, fold int, rmse double, r2 double"
+    found = gram.cross_validated(sampling.with_folds(train, folds), linear, folds) if linear else []
+    out = train.sparkSession.createDataFrame(found, schema)
+    if others:
+        held = out_of_fold(train, others, folds, params)
+        rows = [F.struct(F.lit(n).alias("model"), F.col(n).alias("y_pred")) for n in others]
+        long = held.select("fold", F.col("y").alias("y_true"), F.inline(F.array(*rows)))
+        out = out.union(long.groupBy("model", "fold").agg(metrics.rmse().alias("rmse"), metrics.r2().alias("r2")))
+    return out
 
 
 def cv_summary(per_fold: DataFrame) -> DataFrame:
@@ -247,14 +258,26 @@ def top_coefficients(importance: DataFrame, k: int = 10) -> DataFrame:
 def grid_search(
     train: DataFrame, validation: DataFrame, name: str, grid: Mapping[str, Sequence], metric: str = "rmse"
 ) -> tuple[dict, float, DataFrame]:
-    """Fit every combination; return the best one, its score and all ``(params, score)`` rows."""
+    """Fit every combination; return the best one, its score and all ``(params, score)`` rows.
+
+    Linear models need one scan of each side. The trees' ``maxDepth`` None means no limit, for which this takes DEEPEST, the
+    deepest that the tree learner allows, and warns.
+    """
+    combinations = [dict(zip(grid, combination)) for combination in itertools.product(*grid.values())]
+    spark = train.sparkSession
+    if name in gram.LINEAR:
+        both = [gram.fold_grams(side.withColumn("fold", F.lit(0)), 1)[0] for side in (train, validation)]
+        rows = [(str(p), r2 if metric == "r2" else rmse) for p, rmse, r2 in gram.grid(*both, name, combinations)]
+        at = (max if metric == "r2" else min)(range(len(rows)), key=lambda i: rows[i][1])
+        return combinations[at], rows[at][1], spark.createDataFrame(rows, f"params string, {metric} double")
     scaler = fit_scaler(train)
     ready, check = _scaled(train, scaler).persist(), _scaled(validation, scaler).persist()
     stats = LabelStats.of(ready)
     tried = []
-    for combination in itertools.product(*grid.values()):
-        chosen = dict(zip(grid, combination))
-        settings = {k: 30 if k == "maxDepth" and v is None else v for k, v in chosen.items()}
+    for chosen in combinations:
+        if "maxDepth" in chosen and chosen["maxDepth"] is None:
+            warnings.warn(f"maxDepth None: trees end at depth {DEEPEST}", stacklevel=2)
+        settings = {k: DEEPEST if k == "maxDepth" and v is None else v for k, v in chosen.items()}
         model = build(name, stats, settings).fit(ready)
         held = model.transform(check).withColumnRenamed("prediction", name)
         tried.append((chosen, scores_of(held, [name]).first()[metric]))
@@ -262,7 +285,7 @@ def grid_search(
     check.unpersist()
     best = (max if metric == "r2" else min)(tried, key=lambda t: t[1])
     rows = [(str(chosen), float(score)) for chosen, score in tried]
-    return best[0], best[1], train.sparkSession.createDataFrame(rows, f"params string, {metric} double")
+    return best[0], best[1], spark.createDataFrame(rows, f"params string, {metric} double")
 
 
 def pipeline(columns: Sequence[str], name: str, stats: LabelStats, params: Mapping | None = None) -> Pipeline:

@@ -34,8 +34,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= d * c
         if abs(d * c - 1.0) < 1e-14:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"the beta function's fraction has not settled for {a}, {b}, {x}")
 
 
 def student_two_sided(t: float | None, df: float | None) -> float | None:
