@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualitylab.operators import gram, knn, metrics, ordering, sampling
+from qualitylab.session import concurrently
 
 #: The depth at which the tree learner ends.
 DEEPEST = 30
@@ -162,7 +163,8 @@ def fit_models(
     ready = _scaled(train, scaler)
     stats = LabelStats.of(ready)
     wanted = [n for n in (names or MODEL_REGISTRY) if n in MODEL_REGISTRY]
-    models = {n: build(n, stats, params.get(n)).fit(ready) for n in wanted}
+    fits = concurrently(train.sparkSession, [lambda n=n: build(n, stats, params.get(n)).fit(ready) for n in wanted])
+    models = dict(zip(wanted, fits))
     if not shared and "knn" not in models:
         train.unpersist()
     return Fitted(scaler, models, params)
@@ -183,11 +185,14 @@ def out_of_fold(
 ) -> DataFrame:
     """Each row predicted by models fitted on the other folds: ``(id, y, fold, <model>…)``."""
     folded = sampling.with_folds(train, folds).persist()
-    parts = []
-    for fold in range(folds):
+    folded.count()  # filled once, before the folds' fits run side by side
+
+    def held_out(fold: int) -> DataFrame:
         fitted = fit_models(folded.where(F.col("fold") != fold).drop("fold"), names, params, scale)
         held = fitted.predict(folded.where(F.col("fold") == fold), fitted.models)
-        parts.append(held.select("id", "y", "fold", *fitted.models))
+        return held.select("id", "y", "fold", *fitted.models)
+
+    parts = concurrently(train.sparkSession, [lambda fold=fold: held_out(fold) for fold in range(folds)])
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def local_session(cores: str = "8", app: str = "qualitylab", memory: str = "12g") -> SparkSession:
     """A session for tests and the local bench; on a cluster use spark-submit's own."""
@@ -61,6 +67,13 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def concurrently(spark: SparkSession, jobs: Sequence[Callable[[], T]], at_most: int = 6) -> list[T]:
+    """Results of ``jobs``, independent Spark actions, in their order. Small jobs leave most of a cluster idle, so a few run at a time."""
+    run = inheritable_thread_target(spark)(lambda job: job())
+    with ThreadPoolExecutor(max(1, min(at_most, len(jobs)))) as pool:
+        return list(pool.map(run, jobs))
+
+
 def spread(df: DataFrame, few: int = 8) -> DataFrame:
     """Use more cores on a source of fewer than ``few`` splits (one small file, under a GB or so by Spark's
     defaults). Anything larger is never shuffled, however many cores the cluster has."""
