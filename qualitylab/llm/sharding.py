@@ -1,14 +1,16 @@
 """Shards through fixed virtual slots.
 
-A record belongs for good to one of ``SLOTS`` virtual slots, by a hash of its id. Bytes are summed per slot, and
-a versioned map gives every slot a shard: version 1 takes the slots from the heaviest to the lightest and puts
+A record belongs to one of ``SLOTS`` virtual slots, by a hash of its id and text; the repeats of a row that alone would
+outweigh a slot are dealt over all slots. Bytes are summed per slot, and a versioned map gives every slot a shard: version 1 takes the slots from the heaviest to the lightest and puts
 each into the shard with the fewest bytes; a later version edits the one before it, moving slots out of
-overfull shards only. The map has ``SLOTS`` rows whatever the data's size, so it is one folded array row.
+overfull shards only. The map has ``SLOTS`` rows whatever the data's size, so it is one folded array row. With a path, every version is kept there and the last one is what the
+next run edits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,9 +21,23 @@ SLOTS = 4096
 SLACK = 0.02
 
 
-def virtual_slot(id_col: Column, slots: int = SLOTS) -> Column:
-    """The slot of an id, the same in every version; null ids share slot 0."""
-    return F.when(id_col.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(id_col), F.lit(slots))).cast("int")
+def record_key(id_col: Column, text: Column) -> Column:
+    """What a record's slot follows from: its id and text, so that rows without an id or with a common one spread too."""
+    return F.xxhash64(id_col, text)
+
+
+def slotted(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``records`` (with ``key`` and ``size``) as a written table with ``vslot``: the key's slot, but for keys of several rows that hold more
+    than a mean slot's bytes, whose rows are dealt one by one. There are at most ``slots`` such keys."""
+    own = F.pmod(F.col("key"), F.lit(slots)).cast("int")
+    rows = written(records.withColumns({"vslot": own, "row": F.monotonically_increasing_id()}), "records")
+    mean = rows.agg((F.sum("size") / slots).alias("mean")).scalar()
+    full = rows.groupBy("vslot").agg(F.sum("size").alias("held")).where(F.col("held") > mean).select("vslot")
+    heavy = (rows.join(F.broadcast(full), "vslot", "left_semi").groupBy("key")  # at most slots rows; so are the heavy keys
+             .agg(F.sum("size").alias("held"), F.count("*").alias("n")).where((F.col("held") > mean) & (F.col("n") > 1)))
+    dealt = rows.join(F.broadcast(heavy.select("key", F.lit(True).alias("heavy"))), "key", "left")
+    vslot = F.when(F.col("heavy"), F.pmod(F.xxhash64("key", "row"), F.lit(slots)).cast("int")).otherwise(F.col("vslot"))
+    return written(dealt.withColumn("vslot", vslot).drop("heavy", "row"), "slotted")
 
 
 def record_size(text: Column) -> Column:
@@ -91,6 +107,32 @@ def rebalanced(old: DataFrame, loads: DataFrame, shards: int, slack: float = SLA
     return one.select((F.col("version") + 1).alias("version"), pairs.alias("p")).select("version", "p.vslot", "p.shard")
 
 
+def stored_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version of the map kept under ``path``; None if there is none."""
+    try:
+        every = spark.read.parquet(path)
+    except AnalysisException:  # nothing has been written there
+        return None
+    last = every.agg(F.max("version")).first()[0]
+    return None if last is None else every.where(F.col("version") == last).select("version", "vslot", "shard")
+
+
+def current_map(loads: DataFrame, shards: int, path: str | None) -> DataFrame:
+    """The map for these loads: version 1, or, where ``path`` keeps earlier versions, the last one edited. A version that moves nothing
+    is not written again."""
+    spark = loads.sparkSession
+    if path is None:
+        return written(first_map(loads, shards), "slot-map")
+    old = stored_map(spark, path)
+    if old is None:
+        first_map(loads, shards).write.mode("append").parquet(path)
+    else:
+        new = written(rebalanced(old, loads, shards), "slot-map")
+        if not new.select("vslot", "shard").exceptAll(old.select("vslot", "shard")).isEmpty():
+            new.write.mode("append").parquet(path)
+    return stored_map(spark, path)
+
+
 def positions(records: DataFrame, slot_map: DataFrame, loads: DataFrame, order: list[str]) -> DataFrame:
     """``records`` with ``shard`` and ``slot``, the gapless place in the shard: rows are numbered inside their
     virtual slot and begin where the shard's earlier virtual slots end. No window is larger than a virtual slot."""
@@ -102,20 +144,22 @@ def positions(records: DataFrame, slot_map: DataFrame, loads: DataFrame, order:
             .withColumn("slot", (F.col("begin") + F.col("inside") - 1).cast("long")).drop("inside", "begin"))
 
 
-def sharded(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text",
+            map_path: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, ``size``, ``text_crc32``, ``law`` ('bytes'), ``shard``, ``slot`` and
     ``grown_shard`` (null under this law).
 
-    Null and empty texts have size 1 and checksum 0. Repeated rows each get a place of their own; rows with
-    null ids go to virtual slot 0. Other columns are not read. The map is stored as a table before it is used.
+    Null and empty texts have size 1 and checksum 0. Repeated rows each get a place of their own. Rows without an id, with an
+    id that many share, and with equal texts spread over the shards like any others: equal texts stay together only where
+    their ids are equal too and they fit a slot. Other columns are not read. Under ``map_path`` the map's versions are kept: the first run writes version 1, a later
+    one, also with more shards, moves only slots out of overfull shards.
     """
-    records = docs.select(
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    records = slotted(docs.select(
         F.col(id_col).alias("id_"), record_size(F.col(text_col)).alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        virtual_slot(F.col(id_col), slots).alias("vslot"))
-    records = written(records, "records")
+        F.crc32(text.cast("binary")).alias("text_crc32"), record_key(F.col(id_col), text).alias("key")), slots)
     loads = written(slot_loads(records, slots), "slot-loads")
-    slot_map = written(first_map(loads, shards), "slot-map").select("vslot", "shard")
+    slot_map = current_map(loads, shards, map_path).select("vslot", "shard")
     placed = positions(records, slot_map, loads, ["id_", "text_crc32", "size"])
     return placed.select(F.col("id_").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"),
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
