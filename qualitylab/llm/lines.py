@@ -50,6 +50,18 @@ def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
     return clear.union(counted.select("a_", "b_"))
 
 
+def without_places(lines: Column, gone: Column) -> Column:
+    """The text of an array of lines without those at the places ``gone`` (sorted, from 0): the runs between them, each copied once, so the
+    cost follows the lines and not the lines times the places."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g + 1))
+
+    def runs(own: Column) -> Column:
+        ends = F.concat(gone, F.array(F.size(own)))
+        return F.array_join(F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(own, s + 1, e - s))), "\n")
+
+    return F.element_at(F.transform(F.array(lines), runs), 1)  # the lines are split once, as the lambda's variable
+
+
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source",
                         text_col: str = "text") -> DataFrame:
     """One row for each id and text: id, ``n_lines`` (all lines), ``n_removed`` and ``kept``, the text without
@@ -68,11 +80,10 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
             .groupBy("key_").agg(F.collect_set("at_").alias("gone_")))
     split = F.split(F.col(text), "\n", -1)
     none = F.array().cast("array<int>")
-    joined = rows.join(gone, "key_", "left").withColumn("gone_", F.coalesce("gone_", none))
-    kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("gone_"), i))
+    joined = rows.join(gone, "key_", "left").withColumn("gone_", F.array_sort(F.coalesce("gone_", none)))
     return joined.select(
         F.col(id_col),
         F.coalesce(F.when(F.col(text).isNotNull(), F.size(split)), F.lit(0)).cast("long").alias("n_lines"),
         F.size("gone_").cast("long").alias("n_removed"),
-        F.when(F.size("gone_") == 0, F.col(text)).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        F.when(F.size("gone_") == 0, F.col(text)).otherwise(without_places(split, F.col("gone_"))).alias("kept"),
     )
