@@ -76,9 +76,10 @@ def targets(sizes: DataFrame) -> DataFrame:
 def drawn(sources: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix: one row for each slot, with ``shard``, ``slot``, ``source_`` and ``block``."""
     last = F.floor((F.col("draws") - 1) / SHARD_SLOTS)
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, else few short rows become one task
     chunks = (sources.filter("draws > 0").select("source_", "blocks", "draws", "before", "slots",
                                                  F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
-              .repartition("source_", "chunk"))
+              .repartition(tasks, "source_", "chunk"))
     first = F.col("chunk") * SHARD_SLOTS
     until = F.least(first + SHARD_SLOTS, F.col("draws")) - 1
     rows = chunks.select("source_", "blocks", "before", "slots", F.explode(F.sequence(first, until)).alias("draw"))
@@ -111,6 +112,21 @@ def pieces(rows: DataFrame) -> DataFrame:
     return cut.withColumn("skip", start - F.col("begin")).withColumn("words", F.least(end, (F.col("block") + 1) * BLOCK) - start)
 
 
+def shard_counts(mix: DataFrame) -> DataFrame:
+    """How many of each shard's slots every source fills: the multinomial draw, given the mix's totals."""
+    return mix.groupBy("shard", "source_").agg(F.count("*").alias("slots"))
+
+
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: ``shard`` and ``slot``, in which ``words`` words of the row with this id stand, from its word number ``skip`` on.
+    A slot holds one block, which is a part of a row or several rows."""
+    sizes = written(streams(docs, id_col, source_col, text_col), "sizes")
+    sources = written(targets(sizes), "sources")
+    cut = pieces(packed(sizes, sources)).select("id_", "source_", "block", "skip", "words")
+    return (drawn(sources).join(cut, ["source_", "block"])
+            .select("shard", "slot", F.col("id_").alias(id_col), "skip", "words"))
+
+
 def mixed_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, ``size`` in words, ``source_size``, ``target`` of its source and ``taken``,
     the words that the mix takes of it, repeats counted.
@@ -123,7 +139,8 @@ def mixed_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     sizes = written(streams(docs, id_col, source_col, text_col), "sizes")
     sources = written(targets(sizes), "sources")
     rows = packed(sizes, sources)
-    taken = drawn(sources).groupBy("source_", "block").agg(F.count("*").alias("times"))
+    placed = drawn(sources).groupBy("shard", "source_", "block").agg(F.count("*").alias("slots"))
+    taken = placed.groupBy("source_", "block").agg(F.sum("slots").alias("times"))
     keys = ["id_", "source_", "size", "begin", "source_size", "target"]
     used = (pieces(rows).select(*keys, "block", "words").join(taken, ["source_", "block"], "left")
             .groupBy(*keys).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")))
