@@ -147,6 +147,40 @@ def truncated_svd(spark, d):
     return projected.select("id", F.posexplode("svd").alias("component", "value")).withColumn("value", F.round("value", 6))
 
 
+def _gram_input(spark, d):
+    rows = views.responses(spark, d)
+    vocabulary_table = pin(RESPONSE.fit(rows, "response"))
+    width = vocabulary_table.count()
+    return pin(tfidf.to_rows(RESPONSE.transform(rows, "response", vocabulary_table), width, "id", rows)), width
+
+
+GRAM = DOCS + tfidf_sql("dc", "id", "text", RESPONSE) + """
+, places AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM voc),
+gram AS (SELECT a.term AS term, sum(a.weight * b.weight) AS g FROM tw AS a JOIN tw AS b ON a.id = b.id GROUP BY a.term, b.term)
+"""
+
+
+@add("v9_gram_rows", GRAM.replace("SELECT a.term AS term,", "SELECT a.term AS term, a.term = b.term AS own,") + """
+SELECT CAST(place AS INTEGER) AS index, round(sum(g) FILTER (own), 6) AS diagonal, round(sum(g), 6) AS total, round(sqrt(sum(g * g)), 6) AS norm
+FROM gram JOIN places USING (term) GROUP BY place""")
+def gram_of_terms(spark, d):
+    p = F.col("products")
+    add_up = lambda of: F.aggregate(F.transform(p, of), F.lit(0.0), lambda a, b: a + b)
+    return tfidf.gram_rows(*_gram_input(spark, d)).select(
+        "index", F.round(F.get(p, F.col("index")), 6).alias("diagonal"), F.round(add_up(lambda x: x), 6).alias("total"),
+        F.round(F.sqrt(add_up(lambda x: x * x)), 6).alias("norm"))
+
+
+@add("v9_singular_powers", GRAM + """
+SELECT 2 AS power, CAST(round((SELECT sum(weight * weight) FROM tw), 4) AS DOUBLE) AS total
+UNION ALL SELECT 4, round(sum(g * g), 4) FROM gram""")
+def singular_powers(spark, d):
+    """Sums of the second and fourth powers of all singular values, which are the Gram matrix's trace and squared norm."""
+    rows, width = _gram_input(spark, d)
+    found = tfidf.fit_svd(rows, width, width).singular_values
+    return spark.createDataFrame([(n, round(float((found**n).sum()), 4)) for n in (2, 4)], "power int, total double")
+
+
 @add("v10_explained_variance")
 def explained_variance(spark, d):
     rows = views.responses(spark, d)

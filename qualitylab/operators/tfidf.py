@@ -9,17 +9,17 @@ once more, joins the vocabulary and shuffles the surviving terms of each documen
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.pandas.functions import arrow_udf
 
 from qualitylab.functions import fixed, text
 from qualitylab.functions.text import let
@@ -27,6 +27,8 @@ from qualitylab.session import pin
 
 BROADCAST_TERMS = 200_000  # a vocabulary of at most this many rows may be broadcast
 LITERAL_TERMS = 5_000  # and one of at most this many may be a literal set
+BLOCK_ROWS = 512  # rows of a dense block inside a Python worker
+MAX_WIDTH = 8_192  # columns of a Gram matrix: 512 MB on the driver and in a task
 
 
 def words(column: Column, stop_words: Sequence[str] = tuple(fixed.STOP_WORDS)) -> Column:
@@ -177,6 +179,19 @@ def to_rows(weights: DataFrame, width: int, key: str = "id", all_keys: DataFrame
     )
 
 
+def _dense_blocks(indices: pa.Array, values: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Sparse rows as dense blocks of at most BLOCK_ROWS rows; a block lives no longer than its product."""
+    counts = pc.fill_null(pc.list_value_length(indices), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    places, numbers = (a.flatten().to_numpy(zero_copy_only=False) for a in (indices, values))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for first in range(0, len(counts), BLOCK_ROWS):
+        last = min(first + BLOCK_ROWS, len(counts))
+        cells = slice(ends[first], ends[last])
+        block = np.zeros((last - first, width))
+        block[np.repeat(np.arange(last - first), counts[first:last]), places[cells]] = numbers[cells]
+        yield block
+
+
 @dataclass
 class TruncatedSvd:
     """Right singular vectors (``width`` × ``k``) of an uncentred matrix."""
@@ -185,43 +200,60 @@ class TruncatedSvd:
     singular_values: np.ndarray
 
     def transform(self, rows: DataFrame, name: str = "svd") -> DataFrame:
-        """Add the projection as an array column; the factor goes to the tasks once."""
+        """Add the projection as an array column; the factor goes to the tasks once, and a block of rows is one matrix product."""
         shared = rows.sparkSession.sparkContext.broadcast(self.vectors)
 
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def project(indices: pd.Series, values: pd.Series) -> pd.Series:
+        @arrow_udf("array<double>")
+        def project(indices: pa.Array, values: pa.Array) -> pa.Array:
             factor = shared.value
-            return pd.Series([np.asarray(v) @ factor[np.asarray(i, dtype=int)] if len(i) else
-                              np.zeros(factor.shape[1]) for i, v in zip(indices, values)])
+            width, k = factor.shape
+            parts = [block @ factor for block in _dense_blocks(indices, values, width)]
+            flat = np.concatenate(parts).ravel() if parts else np.empty(0)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(indices) + 1) * k, pa.int32()), pa.array(flat))
 
         return rows.withColumn(name, project("indices", "values"))
 
 
+def gram_rows(rows: DataFrame, width: int) -> DataFrame:
+    """``(index, products)``: row by row the sums of products of a sparse matrix's columns, for columns with an entry.
+
+    Every task sums the products of its own rows; what it sends on is one row of ``width`` numbers for each column
+    that it met, and these are summed by index in as many tasks as there are partitions. Rows without entries add nothing.
+    """
+    if width > MAX_WIDTH:
+        raise ValueError(f"{width} columns: the Gram matrix takes {MAX_WIDTH} at most, set max_features")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            for block in _dense_blocks(batch["indices"], batch["values"], width):
+                total += block.T @ block
+        met = np.flatnonzero(total.diagonal())
+        for some in np.array_split(met, -(-len(met) // BLOCK_ROWS) or 1):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * width, pa.int32()), pa.array(total[some].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), lists], ["index", "part"])
+
+    parts = rows.select("indices", "values").mapInArrow(summed, "index int, part array<double>")
+    return parts.groupBy("index").agg(Summarizer.sum(array_to_vector("part")).alias("products")).select(
+        "index", vector_to_array("products").alias("products"))
+
+
 def fit_svd(rows: DataFrame, width: int, k: int = 100) -> TruncatedSvd:
-    """Truncated SVD of sparse rows from MLlib's Gram matrix: one pass over the rows.
+    """Truncated SVD of sparse rows from their Gram matrix: one pass over the rows.
 
-    The Gram matrix is ``width`` × ``width``, and ``width`` is bounded by ``max_features``.
+    The driver receives ``width`` rows of ``width`` numbers, and ``width`` is bounded by ``max_features`` and MAX_WIDTH.
     Signs are arbitrary; the largest entry of each vector is made positive.
     """
-    dense = F.pandas_udf(ArrayType(DoubleType()))(_densify)
-    vectors = rows.select(array_to_vector(dense("width", "indices", "values")).alias("v"))
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v"))
-    values, v = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+    gram = np.zeros((width, width))
+    for row in gram_rows(rows, width).collect():
+        gram[row["index"]] = row["products"]
+    values, v = np.linalg.eigh(gram)
     best = np.argsort(values)[::-1][: min(k, width)]
     v = v[:, best]
     signs = np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     return TruncatedSvd(v * np.where(signs == 0, 1, signs), np.sqrt(np.maximum(values[best], 0)))
 
 
-def _densify(width: pd.Series, indices: pd.Series, values: pd.Series) -> pd.Series:
-    out = []
-    for w, i, v in zip(width, indices, values):
-        row = np.zeros(w)
-        row[np.asarray(i, dtype=int)] = v
-        out.append(row)
-    return pd.Series(out)
-
-
 def explained_variance(projected: DataFrame, weights: DataFrame, k: int, name: str = "svd") -> DataFrame:
     """``(component, ratio, cumulative)``: variance of each component over the total variance.
 
