@@ -395,7 +395,8 @@ def _fit_predict(query, model):
 
 
 for _query, _model in (("m1_ols", "linear"), ("m2_ridge", "ridge"), ("m3_lasso", "lasso"), ("m4_elastic_net", "elastic_net"),
-                       ("m5_decision_tree", "decision_tree"), ("m6_random_forest", "random_forest"), ("m7_gradient_boosting", "gradient_boosting")):
+                       ("m5_decision_tree", "decision_tree"), ("m6_random_forest", "random_forest"), ("m7_gradient_boosting", "gradient_boosting"),
+                       ("m9_ada_boost", "ada_boost"), ("m9_linear_svr", "svr_linear")):
     _fit_predict(_query, _model)
 
 

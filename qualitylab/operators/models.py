@@ -22,7 +22,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualitylab.operators import gram, knn, metrics, ordering, sampling
+from qualitylab.operators import gram, knn, metrics, ordering, robust, sampling
 from qualitylab.session import concurrently
 
 #: The depth at which the tree learner ends.
@@ -99,9 +99,18 @@ MODEL_REGISTRY: dict[str, Spec] = {
                           {"maxDepth": 8, "seed": 42}, "One tree."),
 }
 
+#: Fitted where they are named. Boards over the whole registry leave them out: each is a long run of small jobs.
+ROBUST_MODELS: dict[str, Spec] = {
+    "ada_boost": Spec(lambda s, **p: robust.AdaBoost(**p), {"rounds": 100, "max_depth": 3, "rate": 1.0, "seed": 42},
+                      "Shallow trees, each fitted with more weight on rows that the ones before it miss."),
+    "svr_linear": Spec(lambda s, **p: robust.LinearSvr(**p), {"c": 1.0, "epsilon": 0.1},
+                       "Linear support vector regression."),
+}
+ALL_MODELS = MODEL_REGISTRY | ROBUST_MODELS
+
 
 def list_models(spark: SparkSession) -> DataFrame:
-    rows = [(name, str(spec.params), spec.description) for name, spec in MODEL_REGISTRY.items()]
+    rows = [(name, str(spec.params), spec.description) for name, spec in ALL_MODELS.items()]
     return spark.createDataFrame(rows, "name string, params string, description string")
 
 
@@ -130,7 +139,7 @@ def _scaled(df: DataFrame, scaler: PipelineModel | None) -> DataFrame:
 
 
 def build(name: str, stats: LabelStats, overrides: Mapping | None = None):
-    spec = MODEL_REGISTRY[name]
+    spec = ALL_MODELS[name]
     return spec.build(stats, **{**spec.params, **(overrides or {})})
 
 
@@ -155,14 +164,14 @@ def fit_models(
     train: DataFrame, names: Sequence[str] | None = None,
     params: Mapping[str, Mapping] | None = None, scale: bool = True,
 ) -> Fitted:
-    """Fit the named registry models (all without names); unknown names are skipped."""
+    """Fit the named models (without names, all of MODEL_REGISTRY); unknown names are skipped."""
     params = params or {}
     shared = train.is_cached  # then it is the caller's to release
     train = train.persist()
     scaler = fit_scaler(train) if scale else None
     ready = _scaled(train, scaler)
     stats = LabelStats.of(ready)
-    wanted = [n for n in (names or MODEL_REGISTRY) if n in MODEL_REGISTRY]
+    wanted = [n for n in (names or MODEL_REGISTRY) if n in ALL_MODELS]
     fits = concurrently(train.sparkSession, [lambda n=n: build(n, stats, params.get(n)).fit(ready) for n in wanted])
     models = dict(zip(wanted, fits))
     if not shared and "knn" not in models:
@@ -204,7 +213,7 @@ def cross_validate(
 ) -> DataFrame:
     """RMSE and R² per model and fold. Linear models of all folds come from one scan (see ``gram``); the others are refitted."""
     params = params or {}
-    linear = {n: {**MODEL_REGISTRY[n].params, **params.get(n, {})} for n in names if n in gram.LINEAR}
+    linear = {n: {**ALL_MODELS[n].params, **params.get(n, {})} for n in names if n in gram.LINEAR}
     others = [n for n in names if n not in linear]
     schema = "model string, fold int, rmse double, r2 double"
     found = gram.cross_validated(sampling.with_folds(train, folds), linear, folds) if linear else []
