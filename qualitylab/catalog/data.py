@@ -18,15 +18,16 @@ W = "WITH "
 
 
 @add("s1_csv_scan", """
-SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last_key
+SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last_key,
+       CAST(sum(CAST(o_orderdate AS DATE) - DATE '1970-01-01') AS BIGINT) AS days
 FROM orders GROUP BY ALL""")
 def csv_scan(spark, d):
     path = scratch_path(spark, "csv")
-    writers.write_csv(views.table(spark, d, "orders").drop("o_orderdate"), path)
-    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    writers.write_csv(views.table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")), path)
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
     return readers.read_csv(spark, path, schema).groupBy("o_orderstatus").agg(
         F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"),
-        F.max("o_orderkey").alias("last_key"),
+        F.max("o_orderkey").alias("last_key"), F.sum(F.unix_date(F.col("o_orderdate").cast("date"))).cast("long").alias("days"),
     )
 
 
@@ -43,6 +44,21 @@ def json_scan(spark, d):
     )
 
 
+@add("s2_json_array_scan", """
+SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, count(DISTINCT user_id) AS users,
+       CAST(sum(epoch_us(CAST(ts AS TIMESTAMP)) // 1000 % 1000000007) AS BIGINT) AS moments
+FROM events GROUP BY ALL""")
+def json_array_scan(spark, d):
+    """Arrays of records, the records' moments included."""
+    path = scratch_path(spark, "array")
+    writers.write_json_array(views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), path)
+    schema = "event_id long, user_id long, event_type string, ts timestamp_ntz, value double, props string"
+    millis = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    return readers.read_json(spark, path, schema).groupBy("event_type").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.count_distinct("user_id").alias("users"),
+        F.sum(millis % 1000000007).alias("moments"))
+
+
 @add("s3_corpus_scan", """
 SELECT count(*) AS lines, CAST(sum(length(text) + 1) AS BIGINT) AS characters FROM documents""")
 def corpus_scan(spark, d):
@@ -136,11 +152,8 @@ def dictionary_check(spark, d):
 @add("s9_report_sink", REPORT_SQL)
 def report_sink(spark, d):
     path = scratch_path(spark, "report")
-    report = metrics.evaluation_report(views.scored(spark, d), "user mean")
-    writers.write_json(writers.report_record(report), path)
-    schema = "model string, report map<string, map<string, map<string, double>>>"
-    return readers.read_json(spark, path, schema, records=False).select("model", F.explode("report").alias("scope", "groups")).select(
-        "model", "scope", F.explode("groups").alias("grp", "metrics")).select("model", "scope", "grp", F.explode("metrics").alias("metric", "value"))
+    writers.write_report(metrics.evaluation_report(views.scored(spark, d), "user mean"), path)
+    return readers.read_report(spark, path)
 
 
 def _embedded(spark, d):
