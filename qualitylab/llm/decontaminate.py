@@ -1,9 +1,9 @@
 """Benchmark passages in training text, found by a broadcast hash set of word windows.
 
 A benchmark text's windows are its runs of ``width`` words (all its words, if it has fewer). The set
-holds a 64-bit hash of each, and the words themselves: a document's windows are hashed as they pass,
+holds a 64-bit hash of each, sorted, and the items' words once: a document's windows are hashed as they pass,
 and every hit is compared word by word before it counts. The set is broadcast in blocks of bounded size;
-a benchmark of more windows takes more blocks, one scan of the documents for each.
+a larger benchmark takes more blocks, one scan of the documents for each, one block in memory at a time.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from qualitylab.llm.shared import LOWER, arrow_texts, covered, fresh, values, window_hashes, word_hashes
+from qualitylab.llm.shared import LOWER, arrow_texts, covered, fresh, values, window_hashes, word_hashes, written
 
 WIDTH = 10
-#: Bytes of benchmark text whose windows are broadcast at once.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text whose windows are broadcast at once; they take about sixteen times as much memory.
+BLOCK_BYTES = 8 << 20
 #: Lower case, and a blank for every ASCII character that is neither letter nor digit.
 _NORMAL = bytes(c if chr(c).isalnum() and c < 128 or c > 127 else 32 for c in LOWER)
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -32,46 +32,92 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_NORMAL).split() if text else []
 
 
-def benchmark_windows(items: list[tuple[object, str | None]], width: int) -> dict:
-    """Window hash -> its words -> ids of the items that hold it."""
-    out: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, text in items:
-        words = normal_words(text)
-        k = min(width, len(words))
-        if item is None or not k:
-            continue
-        for i, h in enumerate(window_hashes(word_hashes(words), k).tolist()):
-            out.setdefault(h, {}).setdefault(tuple(words[i:i + k]), set()).add(str(item))
-    return out
+class Windows:
+    """The windows of a block of benchmark items: a sorted array of 64-bit hashes for each width, and each item's words once.
 
+    Equal windows share one entry, which names the items that hold them; different windows of one hash are neighbours.
+    """
 
-def _scan(text: Column, items: list[tuple[object, str | None]], width: int, spark) -> Column:
-    shared = spark.sparkContext.broadcast(benchmark_windows(items, width))
+    def __init__(self, items: list[tuple[object, str | None]], width: int):
+        self.names: list[str] = []
+        self.texts: list[bytes] = []
+        self.starts: list[np.ndarray] = []
+        hashes: dict[int, list[np.ndarray]] = {}
+        places: dict[int, list[tuple[int, int]]] = {}
+        for name, text in dict.fromkeys(items):
+            words = normal_words(text)
+            k = min(width, len(words))
+            if name is None or not k:
+                continue
+            found = window_hashes(word_hashes(words), k)
+            hashes.setdefault(k, []).append(found)
+            places.setdefault(k, []).append((len(self.names), len(found)))
+            self.names.append(str(name))
+            self.texts.append(b" ".join(words))
+            self.starts.append(np.cumsum([0, *(len(w) + 1 for w in words)]).astype(np.int32))
+        #: width -> hashes, item and place of one holder, where its items begin and end in the list of items, and that list.
+        self.tables = {k: self._table(k, np.concatenate(found), places[k]) for k, found in hashes.items()}
+
+    def _table(self, k: int, hashes: np.ndarray, places: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+        item = np.repeat(np.array([i for i, _ in places], np.int32), [n for _, n in places])
+        at = np.concatenate([np.arange(n, dtype=np.int32) for _, n in places])
+        order = np.argsort(hashes, kind="stable")
+        hashes, item, at = hashes[order], item[order], at[order]
+        firsts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        sizes = np.diff(np.append(firsts, len(hashes)))
+        chosen, members = [firsts[sizes == 1]], [item[firsts[sizes == 1]]]
+        counts = [np.ones(len(chosen[0]), np.int32)]
+        for first, size in zip(firsts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            same: dict[bytes, list[int]] = {}
+            for i in range(first, first + size):
+                same.setdefault(self.words(int(item[i]), int(at[i]), k), []).append(i)
+            for group in same.values():
+                holders = np.unique(item[group])
+                chosen.append(np.array(group[:1]))
+                counts.append(np.array([len(holders)], np.int32))
+                members.append(holders)
+        chosen, ends = np.concatenate(chosen), np.cumsum(np.concatenate(counts), dtype=np.int32)
+        order = np.argsort(hashes[chosen], kind="stable")
+        chosen, starts = chosen[order], np.concatenate([[0], ends[:-1]]).astype(np.int32)[order]
+        return hashes[chosen], item[chosen], at[chosen], starts, ends[order], np.concatenate(members)
+
+    def words(self, item: int, at: int, k: int) -> bytes:
+        """``k`` words of an item from its ``at``-th on, joined by blanks."""
+        starts = self.starts[item]
+        return self.texts[item][starts[at]:starts[at + k] - 1]
+
+    def hits(self, words: list[bytes]) -> tuple[list[int], list[int], list[str]]:
+        """Starts and ends of the windows in ``words``, each compared word by word, and the names of their items, sorted."""
+        hashed = word_hashes(words)
+        starts, ends, items = [], [], set()
+        for k, (wanted, item, place, first, last, members) in self.tables.items():
+            found = window_hashes(hashed, k)
+            at = np.searchsorted(wanted, found)
+            at[at == len(wanted)] = 0
+            for i in np.flatnonzero(wanted[at] == found).tolist():
+                own, j = b" ".join(words[i:i + k]), int(at[i])
+                while j < len(wanted) and wanted[j] == found[i]:
+                    if self.words(int(item[j]), int(place[j]), k) == own:
+                        starts.append(i)
+                        ends.append(i + k)
+                        items.update(members[first[j]:last[j]].tolist())
+                        break
+                    j += 1
+        return starts, ends, sorted({self.names[i] for i in items})
+
+
+def _scan(text: Column, shared) -> Column:
+    """Hits of each text among the broadcast ``shared`` windows."""
 
     @arrow_udf(_HITS)
     def hits(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = shared.value
-        by_width = {}
-        for h, texts in known.items():
-            for words in texts:
-                by_width.setdefault(len(words), set()).add(h)
-        by_width = {k: np.array(sorted(v), np.uint64) for k, v in by_width.items()}
+        windows = shared.value
         for column in columns:
             rows = []
             for text in values(column):
                 words = normal_words(text)
-                hashed = word_hashes(words)
-                starts, ends, items = [], [], set()
-                for k, wanted in by_width.items():
-                    found = window_hashes(hashed, k)
-                    at = np.searchsorted(wanted, found)
-                    at[at == len(wanted)] = 0
-                    for i in np.flatnonzero(wanted[at] == found).tolist():
-                        if same := known[int(found[i])].get(tuple(words[i:i + k])):
-                            starts.append(i)
-                            ends.append(i + k)
-                            items |= same
-                rows.append({"n_words": len(words), "starts": starts, "ends": ends, "items": sorted(items)})
+                starts, ends, items = windows.hits(words)
+                rows.append({"n_words": len(words), "starts": starts, "ends": ends, "items": items})
             yield pa.array(rows, pa.struct([
                 ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
                 ("items", pa.list_(pa.string()))]))
@@ -103,29 +149,51 @@ def _cut(text: Column, starts: Column, ends: Column) -> Column:
     return cut(text, starts, ends)
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> Iterator[list]:
-    """The benchmark's rows in blocks of about ``block_bytes``, each collected on its own."""
+def benchmark_blocks(benchmark: DataFrame, blocks: int, id_col: str, text_col: str) -> Iterator[list]:
+    """The benchmark's rows in ``blocks`` parts of about equal size, each collected when it is asked for."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
     for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         yield [(r.item, r.text) for r in part.collect()]
 
 
+def _hits_by_block(docs: DataFrame, blocks: Iterator[list], width: int, text_col: str, name: str) -> DataFrame:
+    """``docs``, written once with row numbers, with the hits of all blocks in ``name``. A block's windows are built,
+    broadcast, used for one scan and given back before the next block is read; what a scan writes are a row's number and hits."""
+    spark = docs.sparkSession
+    row = fresh("row", name, *docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    scans = None
+    for i, block in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(Windows(block, width))
+        scanned = rows.select(row, _scan(F.col(text_col), shared).alias("h")).select(row, "h.*")
+        # the first scan keeps rows without hits for their numbers of words
+        found = written(scanned if i == 0 else scanned.filter(F.size("starts") > 0), "hits")
+        shared.destroy()
+        scans = found if scans is None else scans.union(found)
+    merged = scans.groupBy(row).agg(F.max("n_words").alias("n_words"), *[
+        F.flatten(F.collect_list(part)).alias(part) for part in ("starts", "ends", "items")])  # a row has at most one entry a block
+    return rows.join(merged.select(row, F.struct("n_words", "starts", "ends", "items").alias(name)), row).drop(row)
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, name: str, width: int = WIDTH,
                    block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id",
                    item_text: str = "text") -> DataFrame:
     """``docs`` with a column ``name`` of ``n_words``, ``n_hit``, ``items`` (sorted as strings) and ``kept``,
-    the text without its hit runs of words."""
-    scans = [_scan(F.col(text_col), block, width, docs.sparkSession)
-             for block in benchmark_blocks(benchmark, block_bytes, item_col, item_text)]
-    scanned = arrow_texts(docs).withColumn(name, F.array(*scans))
-    joined = {part: F.flatten(F.col(f"{name}.{part}")) for part in ("starts", "ends", "items")}
-    cut = _cut(F.col(text_col), joined["starts"], joined["ends"])
+    the text without its hit runs of words. A benchmark of one block takes one scan and nothing else."""
+    total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    blocks = benchmark_blocks(benchmark, -(-total // block_bytes) or 1, item_col, item_text)
+    arrow_texts(docs)
+    if total <= block_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(next(blocks), width))
+        scanned = docs.withColumn(name, _scan(F.col(text_col), shared))
+    else:
+        scanned = _hits_by_block(docs, blocks, width, text_col, name)
+    hits = F.col(name)
+    cut = _cut(F.col(text_col), hits["starts"], hits["ends"])
     return scanned.withColumn(name, F.struct(
-        F.col(name)[0]["n_words"].alias("n_words"), cut["n_hit"].alias("n_hit"),
-        F.array_sort(F.array_distinct(joined["items"])).alias("items"), cut["kept"].alias("kept")))
+        hits["n_words"].alias("n_words"), cut["n_hit"].alias("n_hit"),
+        F.array_sort(F.array_distinct(hits["items"])).alias("items"), cut["kept"].alias("kept")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,11 +67,22 @@ def test_token_counts_equal_the_tokenizer(docs, empty):
     for _ in range(300):
         t = "".join(chance.choice([" ", "  ", "\n", "\u00a0", "\x1c", "'s", "don't", "<|endoftext|>", "é", "12", "...", "ab"]) for _ in range(30))
         assert counter.count(t) == count(t) and "".join(tokens.safe_pieces(t)) == t
+    for _ in range(60):  # long pieces without a blank
+        t = "".join(chance.choice(["'s", "'", "''re", "don't", "<|endoftext|>", "<|", "é", "e\u0301", "12", "٣", "½", "...", "ab", "漢字，", "。", "+/", "Zz9", "_", "\u200b"]) for _ in range(400))
+        assert counter.count(t) == count(t) and "".join(tokens.short_pieces(t)) == t
+        assert counter.count(f"a {t} b {t}") == count(f"a {t} b {t}")
+    run = "字" * 5000 + "a" * 3000
+    assert counter.count(run) == count(run)
 
 
 def test_token_pieces_are_forgotten_but_counts_stay():
     counter = tokens.Counter(lambda batch: [len(x) for x in batch], remembered=3)
     assert counter.count("aa bb cc dd aa") == len("aa bb cc dd aa")
+    assert counter.count("ee ff") == 5 and set(counter.words) == {"ff"}
+    for i in range(50):
+        assert counter.count(f"{i}-" * 1000 + " x") == len(f"{i}-" * 1000 + " x")
+    assert sum(map(len, [*counter.pieces, *counter.words])) < 3000
+    assert [tokens.n_bytes(t) for t in ("ab", "é", "字")] == [2, 2, 3]
     assert [len(b) for b in tokens.batches(["a" * 10] * 5, 25)] == [2, 2, 1]
 
 
@@ -153,6 +165,12 @@ def test_contamination_by_brute_force(docs, empty, texts, spark):
     for block in (16 << 20, 100):  # one block, and many
         got, rows = by_text(docs, decontaminate.contamination(docs, bench, block_bytes=block), "n_words", "n_hit", "items")
         same(got, [(i, *judge(t)) for i, t in rows])
+    same([tuple(r) for r in decontaminate.without_benchmark(docs, bench, block_bytes=100).collect()],
+         [tuple(r) for r in decontaminate.without_benchmark(docs, bench).collect()])
+    crossed = decontaminate.Windows([("a", "one two three"), ("b", "two three"), ("a", "one two three"), ("c", "zero one two three")], 2)
+    assert crossed.hits([b"one", b"two", b"three"]) == ([0, 1], [2, 3], ["a", "b", "c"])
+    crossed.tables[2] = tuple(np.zeros_like(part) if i == 0 else part for i, part in enumerate(crossed.tables[2]))
+    assert crossed.hits([b"one", b"two"]) == ([], [], [])  # hashes alone decide nothing
     kept = decontaminate.without_benchmark(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not judge(t)[1] for _, t in rows)
     spans = decontaminate.without_benchmark(docs, bench, remove="spans")
@@ -334,6 +352,8 @@ def test_classifier_on_held_out_rows(spark, docs, empty):
     marks = spark.createDataFrame([(i, i % 2, "x") for i in range(20)] + [(None, 1, "x"), (3, None, "x")], "doc_id long, quality int, text string")
     odd = classifier.classified(docs, marks).collect()
     assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd)
+    letters = [classifier.features(t) for t in ("яблоко", "яб", "a")]  # 1 word; 6 grams of 3, 5 of 4 with the blanks; 2 and 1; 1 and 0
+    assert [len(f) for f in letters] == [1 + 6 + 5, 1 + 2 + 1, 1 + 1]
     assert {r.score for r in classifier.classified(docs, marks.limit(0)).collect()} == {0.5}
     assert classifier.classified(empty, marks).count() == 0
     assert classifier.good_documents(docs, marks).columns == docs.columns
