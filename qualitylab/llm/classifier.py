@@ -1,6 +1,6 @@
 """A quality classifier over learned subword embeddings, trained by stochastic gradient descent in NumPy.
 
-A document's features are hashed words, hashed byte n-grams inside words (a blank marks each word's ends)
+A document's features are hashed words, hashed character n-grams inside words (a blank marks each word's ends)
 and a mark for every word that repeats the one before it. Each bucket has a learned vector; a document is
 the mean of its features' vectors, and a softmax over two classes gives the score. Since that mean is linear,
 scoring needs one number per bucket: the vector's product with the difference of the two output rows.
@@ -20,7 +20,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from qualitylab.llm.shared import arrow_texts, values, word_hashes
 
-#: log2 of the buckets of words, and of those of n-grams; sizes of the n-grams in bytes.
+#: log2 of the buckets of words, and of those of n-grams; sizes of the n-grams in characters (code points).
 BITS, GRAMS = 17, (3, 4)
 BUCKETS = (2 << BITS) + 1
 #: Labelled rows that training may use, those with the smallest hashes of their ids; epochs, rate, width.
@@ -34,7 +34,8 @@ def features(text: str | None) -> np.ndarray:
         return np.empty(0, np.int64)
     hashed = word_hashes(words)
     out = [(hashed >> np.uint64(64 - BITS)).astype(np.int64)]
-    raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    spaced = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
+    raw = np.frombuffer(spaced.encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = raw == 32
     for n in GRAMS:
         size = len(raw) - n + 1
@@ -42,7 +43,7 @@ def features(text: str | None) -> np.ndarray:
             continue
         value, inside = np.zeros(size, np.uint32), np.ones(size, bool)
         for i in range(n):
-            value = (value << np.uint32(8)) | raw[i:i + size]
+            value = value * np.uint32(0x01000193) + raw[i:i + size]
             if 0 < i < n - 1:
                 inside &= ~blank[i:i + size]
         value = value[inside] * np.uint32(0x9E3779B1) + np.uint32(n)
