@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from qualitylab.llm.shared import written
 
@@ -70,63 +69,101 @@ def deepest(rows: DataFrame, column: str) -> int:
     return rows.agg(F.coalesce(F.max(F.size(column)), F.lit(0))).first()[0]
 
 
-def generalised(shapes: DataFrame) -> DataFrame:
-    """``shapes`` (rows of ``host``, ``shape``, ``n`` and more) with ``template``: level by level, down to the
-    longest path's end, a segment that has under MIN_PAGES pages becomes a wildcard. A level is a written table: each reads
-    the last twice."""
-    depth = deepest(shapes, "shape")
-    rows = shapes.withColumn("template", F.col("shape"))
-    for level in range(1, depth + 1):
-        parent = F.slice("template", 1, level - 1)
-        nodes = rows.filter(F.size("template") >= level).groupBy("host", parent.alias("parent"), F.col("template")[level - 1].alias("own")).agg(F.sum("n").alias("n"))
-        rare = nodes.filter((F.col("own") != WILD) & (F.col("n") < MIN_PAGES)).select("host", "parent", "own", F.lit(True).alias("rare"))
-        rows = rows.withColumn("parent", parent).withColumn("own", F.get("template", F.lit(level - 1)))
-        wild = F.concat(F.col("parent"), F.array(F.lit(WILD)), F.slice("template", level + 1, depth))
-        rows = written(rows.join(rare, ["host", "parent", "own"], "left").withColumn(
-            "template", F.when(F.col("rare"), wild).otherwise(F.col("template"))).drop("parent", "own", "rare"), "generalised")
-    return rows
+def common_start(a: Column, b: Column) -> Column:
+    """Number of segments that two paths share from their start on."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
+
+
+def last_level(levels: Column) -> Column:
+    """The last of ``levels``, 0 if there is none."""
+    return F.coalesce(F.get(levels, F.size(levels) - 1), F.lit(0))
 
 
-def merged_branches(templates: DataFrame) -> DataFrame:
-    """``templates`` (``host``, ``template``, ``labelled``, ``good``) with ``branch``, the node that each ends in, and the
-    node's own sums. A node moves up to its parent if its share of good labels is within Z standard errors of its
-    siblings' common share, or if it has no labels."""
-    rows = templates.withColumn("branch", F.col("template"))
-    for level in range(deepest(templates, "template"), 0, -1):
-        nodes = rows.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-        siblings = Window.partitionBy("host", F.slice("branch", 1, level - 1))
-        level_nodes = nodes.filter(F.size("branch") == level)
-        share = F.sum("good").over(siblings) / F.sum("labelled").over(siblings)
-        judged = level_nodes.withColumn("share", share)
-        error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("labelled"))
-        same = (F.col("labelled") == 0) | (F.abs(F.col("good") / F.nullif("labelled", F.lit(0)) - F.col("share")) <= Z * error)
-        ups = judged.filter(same).select("host", "branch", F.lit(True).alias("up"))
-        rows = written(rows.join(ups, ["host", "branch"], "left").withColumn(
-            "branch", F.when(F.col("up"), F.slice("branch", 1, level - 1)).otherwise(F.col("branch"))).drop("up"), "merged")
+def generalised(shapes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``shapes`` (rows of ``host``, ``shape``, ``n`` and more) with ``template``, in which every segment that has under
+    ``min_pages`` pages below its parent is a wildcard, and ``levels``, the numbers of segments at which it parted from other templates
+    of its host. No template parts from it beyond the last of them.
+
+    A round settles what it can at once: below a node of too few pages all is wild, a node with one template is done, and
+    segments that all paths of a node share are passed in one step. So there are as many rounds as branchings on one path, not
+    as segments, and each reads open rows only. A round is a written table.
+    """
+    todo = shapes.withColumn("template", F.col("shape")).withColumn("levels", F.array().cast("array<int>"))
+    keep, settled = shapes.columns, []
+    while not settled or not todo.isEmpty():
+        rows = todo.withColumn("at", last_level(F.col("levels"))).withColumn("node", F.slice("template", F.lit(1), F.col("at")))
+        nodes = rows.groupBy("host", "node").agg(F.sum("n").alias("total"), F.min("template").alias("lo"), F.max("template").alias("hi"))
+        nodes = nodes.select("host", "node", (F.col("total") < min_pages).alias("few"), (F.col("lo") == F.col("hi")).alias("one"),
+                             common_start(F.col("lo"), F.col("hi")).alias("shared"))
+        rows = rows.join(nodes, ["host", "node"]).withColumn("start", F.slice("template", F.lit(1), F.col("shared"))).withColumn(
+            "own", F.get("template", F.col("shared")))
+        ended = F.size("template") == F.col("shared")
+        children = rows.filter(~F.col("few") & ~F.col("one") & ~ended).groupBy("host", "start", "own").agg(F.sum("n").alias("pages"))
+        rare = children.filter((F.col("own") != WILD) & (F.col("pages") < min_pages)).select("host", "start", "own", F.lit(True).alias("rare"))
+        rows = rows.join(rare, ["host", "start", "own"], "left")
+        rest = F.size("template") - F.col("at")
+        step = rows.select(
+            *keep,
+            F.when(F.col("few"), F.concat("node", F.array_repeat(F.lit(WILD), rest)))
+            .when(F.col("rare"), F.concat("start", F.array(F.lit(WILD)), F.slice("template", F.col("shared") + 2, F.size("template"))))
+            .otherwise(F.col("template")).alias("template"),
+            (F.col("few") | F.col("one") | ended).alias("done"), "levels", "shared").select(
+            *keep, "template", "done", F.when(F.col("done"), F.col("levels")).otherwise(F.concat("levels", F.array(F.col("shared") + 1))).alias("levels"))
+        step = written(step, "generalised")
+        settled.append(step.filter("done").drop("done"))
+        todo = step.filter("NOT done").drop("done")
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.union(part)
+    return out
+
+
+def merged_branches(templates: DataFrame, z: float = Z) -> DataFrame:
+    """``templates`` (``host``, ``template``, ``levels``, ``labelled``, ``good``) with ``branch``, the node that each ends in, and the
+    node's own sums. A node moves up to its parent if its share of good labels is within ``z`` standard errors of its
+    siblings' common share, or if it has no labels. A node without siblings always does, so only ``levels`` are looked at: siblings
+    parted at the same of them."""
+    branch = F.slice("template", F.lit(1), last_level(F.col("levels")))
+    rows = templates.withColumn("branch", branch)
+    for place in range(deepest(templates, "levels"), 0, -1):
+        above = F.slice("branch", F.lit(1), F.coalesce(F.get("levels", F.lit(place - 2)), F.lit(0)) if place > 1 else F.lit(0))
+        nodes = rows.filter(F.size("levels") == place).groupBy("host", "branch", above.alias("parent")).agg(
+            F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+        siblings = nodes.groupBy("host", "parent").agg((F.sum("good") / F.nullif(F.sum("labelled"), F.lit(0))).alias("share"))
+        judged = nodes.join(siblings, ["host", "parent"])
+        error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.nullif("labelled", F.lit(0)))
+        same = (F.col("labelled") == 0) | (F.abs(F.col("good") / F.nullif("labelled", F.lit(0)) - F.col("share")) <= z * error)
+        ups = judged.filter(same).select("host", "branch", F.lit(place).alias("up"))
+        rows = rows.join(ups, ["host", "branch"], "left").withColumn(
+            "levels", F.when(F.col("up") == F.size("levels"), F.slice("levels", 1, place - 1)).otherwise(F.col("levels")))
+        rows = written(rows.drop("up").withColumn("branch", branch), "merged")
     return rows
 
 
-def judged_branches(rows: DataFrame) -> DataFrame:
+def judged_branches(rows: DataFrame, prior: float = PRIOR) -> DataFrame:
     """Rows of ``merged_branches`` with ``purity``: the branch's share of good labels, smoothed by its host's,
     which is smoothed by the share of all (1 without any label)."""
     branches = rows.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     hosts = branches.groupBy("host").agg(F.sum("labelled").alias("of_host"), F.sum("good").alias("good_of_host"))
     every = hosts.agg(F.coalesce(F.sum("good_of_host") / F.nullif(F.sum("of_host"), F.lit(0)), F.lit(1.0)).alias("base"))
     base = F.lit(every.first()[0])
-    host = (F.col("good_of_host") + PRIOR * base) / (F.col("of_host") + PRIOR)
-    purity = (F.col("good") + PRIOR * host) / (F.col("labelled") + PRIOR)
+    host = (F.col("good_of_host") + prior * base) / (F.col("of_host") + prior)
+    purity = (F.col("good") + prior * host) / (F.col("labelled") + prior)
     joined = branches.join(hosts, "host").select("host", "branch", purity.alias("purity"))
-    return rows.drop("labelled", "good").join(joined, ["host", "branch"])
+    return rows.drop("labelled", "good", "levels").join(joined, ["host", "branch"])
 
 
 def judged_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", good_col: str = "good",
-                rules: tuple[Rule, ...] = RULES, purity: float = PURITY) -> DataFrame:
+                rules: tuple[Rule, ...] = RULES, purity: float = PURITY, min_pages: int = MIN_PAGES, z: float = Z,
+                prior: float = PRIOR) -> DataFrame:
     """One row for each row of ``pages``: id, ``host``, ``path``, ``rule``, ``verdict`` and ``template`` (the branch that the
     method ends in).
 
     ``labelled`` gives ids and whether they are good (boolean; null is no label); an id with several
     labels is good if all are. Null urls and urls without ``://`` have an empty host and path and are judged as the
-    host ``''``. Repeated rows are judged one by one and count as often. Without labels nothing is blocked but by rules.
+    host ``''``. ``min_pages`` is what a literal segment needs, ``z`` the errors beyond which branches differ, ``prior`` the pages' worth
+    of smoothing, ``purity`` the share of good labels under which a template is blocked. Repeated rows are judged one by one and count as often. Without labels nothing is blocked but by rules.
     Columns other than id and url are not read.
     """
     host, path = url_parts(F.col(url_col))
@@ -138,8 +175,8 @@ def judged_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id",
     known = F.col("good_").isNotNull()
     shapes = marked.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.sum(known.cast("long")).alias("labelled"), F.sum(F.coalesce(F.col("good_"), F.lit(False)).cast("long")).alias("good"))
-    templates = generalised(written(shapes, "shapes"))
-    judged = written(judged_branches(merged_branches(templates)).select("host", "shape", "branch", "purity"), "purity")
+    templates = generalised(written(shapes, "shapes"), min_pages)
+    judged = written(judged_branches(merged_branches(templates, z), prior).select("host", "shape", "branch", "purity"), "purity")
     own = F.when(F.col("purity") < purity, "block").otherwise("allow")
     return rows.join(judged, ["host", "shape"]).select(
         F.col("id_").alias(id_col), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"),
