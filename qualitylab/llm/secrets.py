@@ -1,8 +1,9 @@
 """Secrets in text: three fixed patterns, and literals that are assigned to sensitive names.
 
-The lexer is anchored at assignment signs. Left of a sign it reads a name, right of it a value: quoted
-strings and names joined by ``+``, or a bare word. That covers source code, JSON, YAML, INI, shell and XML
-element syntax. Literals flow through names: in ``a = "x9..."; password = a`` the literal is scored by the
+The lexer is anchored at assignment signs, ``#define`` and key-value attributes. Left of a sign it reads a name, right of
+it a value: quoted strings (with prefixes, triple or back quotes) and names joined by ``+`` or by standing side by side,
+names in ``$name`` or ``{name}`` form, lists, YAML block scalars, the default of an environment lookup, or a bare word. That
+covers source code, JSON, YAML, INI, shell and XML syntax. Literals flow through names: in ``a = "x9..."; password = a`` the literal is scored by the
 name ``password``. A literal's score adds up how sensitive the name is and how random the literal looks,
 and placeholders are taken off.
 """
@@ -45,6 +46,22 @@ _PART = re.compile(
     + _AMP + r""")&)|\+["']))""", re.A)
 _BLANKS, _BARE = re.compile(r"[ \t]*+"), re.compile(r"""(?:[^\s"'<>;,&|(){}\[\]]|""" + _AMP + ")++", re.A)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\w\"'])", re.A)
+#: Before a value: blanks, a continued line, opening brackets.
+_OPEN = re.compile(r"[ \t]*+(?:\\\r?\n[ \t]*+)?(?:[(\[][ \t\r\n]*+)*+")
+_QUOTED = re.compile(r"""([bBrRuUfF]{0,2})("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`)""")
+_TRIPLE = re.compile(r"""[bBrRuUfF]{0,2}(\"""|\'\'\')""")
+#: A value that is another name: ``$name`` or ``${name}``; inside quotes also ``{name}`` where the prefix says so.
+_REF = re.compile(r"""\$(?:(\w++)|\{(\w++)\})(?=[\s"'`;,)&|]|\Z)""")
+_WHOLE_REF = re.compile(r"\$?\{(\w+)\}|\$(\w+)")
+#: What a string that goes on in the next one has between: blanks, or in brackets and at a continued line a line break.
+_BESIDE = re.compile(r"""(?:[ \t]++|[ \t]*+\\\r?\n[ \t]*+)(?=[bBrRuUfF]{0,2}["'])""")
+_BESIDE_INSIDE = re.compile(r"""[ \t\r\n]*+(?=[bBrRuUfF]{0,2}["'])""")
+_COMMA = re.compile(r"""[ \t\r\n]*+,[ \t\r\n]*+(?=[bBrRuUfF]{0,2}["'])""")
+_LOOKUP = re.compile(r"""[A-Za-z_][\w.]{0,60}\([ \t]*+["'][^"'\n]{0,100}["'][ \t]*+,""", re.A)
+_LOOKUPS = ("getenv", "environ.get", "env", "getProperty")
+_BLOCK = re.compile(r"[ \t]*+[|>][+-]?[ \t]*+\r?\n([ \t]++)(?=\S)")
+_DEFINE = re.compile(r"^[ \t]*+#[ \t]*+define[ \t]++(\w++)[ \t]++", re.M)
+_ATTRIBUTES = re.compile(r"""\b(?:key|name)[ \t]*+=[ \t]*+["']([\w.:-]++)["'][ \t\r\n]++value[ \t]*+=[ \t]*+(?=["'])""")
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: Parts of names and how sensitive they make a name.
@@ -53,6 +70,8 @@ SENSITIVE = {
     "credential": 2.0, "credentials": 2.0, "bearer": 1.5, "auth": 1.0, "private": 1.0, "access": 0.5, "signing": 1.0,
     "encryption": 1.0, "api": 1.0, "key": 1.0, "salt": 1.0,
 }
+#: Those that also count at the end of a longer word, as in ``dbpassword``.
+_ENDINGS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "credential", "credentials")
 #: Words that mark a literal as no real value.
 _INSIDE = re.compile(
     r"example|sample|changeme|change_me|placeholder|dummy|your[_-]|redacted|xxxx|\*{3}|\.{3}|[$]\{|\{\{", re.I)
@@ -117,35 +136,102 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """Name and value parts (kind, start, end) of every assignment, in order. Parts reach to their true end; the end of a
-    bare word with signs inside is looked for once."""
-    back, word = text[::-1], (0, 0)
+def named_places(text: str) -> Iterator[tuple[str, int, bool]]:
+    """Name, place of its value, and whether a bare or a joined value may follow (not after a sign without blanks), in order."""
+    back, others = text[::-1], []
+    if "define" in text:
+        others += [(m.end(), m[1]) for m in _DEFINE.finditer(text)]
+    if "value" in text:
+        others += [(m.end(), m[1]) for m in _ATTRIBUTES.finditer(text)]
+    others = iter(sorted(others))
+    other = next(others, None)
     for sign in _SIGN.finditer(text):
+        while other and other[0] <= sign.end():
+            yield other[1], other[0], False
+            other = next(others, None)
         name = _NAME.match(back, len(text) - sign.start())
-        if not name:
+        if name:
+            yield name[1][::-1], sign.end(), text[sign.end():sign.end() + 1] in (" ", "\t")
+    while other:
+        yield other[1], other[0], False
+        other = next(others, None)
+
+
+def string_at(text: str, at: int, unclosed: set[str]) -> tuple[str, int, int, int] | None:
+    """Kind, start and end of the string that begins at ``at``, without quotes, and the place after it. ``unclosed`` remembers the triple quotes
+    that no later place closes."""
+    if triple := _TRIPLE.match(text, at):
+        end = -1 if triple[1] in unclosed else text.find(triple[1], triple.end())
+        if end < 0:
+            unclosed.add(triple[1])
+            return None
+        inner = text[triple.end():end]
+        start = triple.end() + len(inner) - len(inner.lstrip())
+        return "quoted", start, max(start, start + len(inner.strip())), end + 3
+    quoted = _QUOTED.match(text, at)
+    if not quoted:
+        return None
+    start, end = quoted.start(2) + 1, quoted.end() - 1
+    inside = _WHOLE_REF.fullmatch(text, start, end) if end - start < 80 else None
+    if inside and (text[start] == "$" or "f" in quoted[1].lower()):
+        return "ref", *inside.span(inside.lastindex), quoted.end()
+    return "quoted", start, end, quoted.end()
+
+
+def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """Name and value parts (kind, start, end) of every assignment, in order; a list gives a pair for each of its strings. Parts reach
+    to their true end; the end of a bare word with signs inside is looked for once, and so are the strings of a bracket."""
+    word, unclosed, read = (0, 0), set(), 0
+    for name, at, spaced in named_places(text):
+        if text[at - 1:at] == ":" and (block := _BLOCK.match(text, at)):
+            lines, at, indent = [], block.start(1), block[1]
+            while text.startswith(indent, at):
+                end = text.find("\n", at)
+                end = len(text) if end < 0 else end
+                lines.append(("quoted", at + len(indent), at + len(text[at:end].rstrip())))
+                at = end + 1
+            yield name, [line for line in lines if line[1] < line[2]]
             continue
-        at, parts = sign.end(), []
+        opened = _OPEN.match(text, at)
+        brackets = opened[0].count("(") + opened[0].count("[") if at >= read else 0
+        at = opened.end() if brackets else _BLANKS.match(text, at).end() if "\\" not in opened[0] else opened.end()
+        if (call := _LOOKUP.match(text, at)) and call[0].partition("(")[0].endswith(_LOOKUPS):
+            at = _BLANKS.match(text, call.end()).end()
+        beside = _BESIDE_INSIDE if brackets else _BESIDE if spaced and at >= read else None
+        parts = []
         while True:
             at = _BLANKS.match(text, at).end()
-            if part := _PART.match(text, at):
-                kind, (start, end) = part.lastgroup, part.span()
+            if string := string_at(text, at, unclosed):
+                kind, start, end, after = string
+            elif ref := _REF.match(text, at):
+                kind, (start, end), after = "ref", ref.span(ref.lastindex), ref.end()
+            elif part := _PART.match(text, at):
+                kind, (start, end), after = part.lastgroup, part.span(), part.end()
             else:
                 if not word[0] <= at < word[1]:
                     bare = _BARE.match(text, at)
                     if not bare:
                         break
                     word = bare.span()
-                kind, start, end = "bare", at, word[1]
-            if kind != "quoted" and text[end:end + 1] in ("(", "["):  # a call or an element, no literal
+                kind, start, end, after = "bare", at, word[1], word[1]
+            if kind in ("name", "bare") and text[after:after + 1] in ("(", "["):  # a call or an element, no literal
                 break
-            plus = _PLUS.match(text, end) if kind != "bare" else None
-            parts.append((kind, start + 1, end - 1) if kind == "quoted" else (kind, start, end))
-            if not plus:
+            parts.append((kind, start, end))
+            more = _PLUS.match(text, after) if kind != "bare" else None
+            if not more and string and beside:
+                more = beside.match(text, after)
+                if more and not brackets:
+                    read = after  # side by side on one line: strings further on are not read again
+            if not more and string and "[" in opened[0] and brackets and (more := _COMMA.match(text, after)):
+                yield name, parts
+                parts = []
+            if brackets:
+                read = max(read, after)
+            if not more:
                 break
-            at = plus.end()
+            at = more.end()
         if parts:
-            yield name[1][::-1], parts
+            yield name, parts
 
 
 def entropy(chars: Counter, n: int) -> float:
@@ -155,7 +241,10 @@ def entropy(chars: Counter, n: int) -> float:
 
 def sensitivity(name: str) -> float:
     """How sensitive the parts of ``name`` make it."""
-    return sum(SENSITIVE.get(p, 0.0) for p in dict.fromkeys(p.lower() for p in _NAME_PARTS.findall(name)))
+    parts = dict.fromkeys(p.lower() for p in _NAME_PARTS.findall(name))
+    found = [p if p in SENSITIVE else p.removesuffix("s") for p in parts]
+    return sum(SENSITIVE[word] for word in dict.fromkeys(
+        p if p in SENSITIVE else next((e for e in _ENDINGS if p.endswith(e)), None) for p in found) if word)
 
 
 def score(name: str, literal: str) -> float:
@@ -187,7 +276,8 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> set[tuple[int, int
     out: set[tuple[int, int]] = set()
     word, weights = 0, {}
     for name, parts in pairs(text):
-        found = [known[text[s:e]] if kind == "name" and text[s:e] in known else Value([(s, e)]) for kind, s, e in parts if s < e]
+        found = [known[text[s:e]] if kind in ("name", "ref") and text[s:e] in known else Value([(s, e)])
+                 for kind, s, e in parts if s < e and (kind != "ref" or text[s:e] in known)]
         if not found:
             value = Value([], Facts.of(""))
         elif len(found) == 1:
@@ -225,7 +315,7 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int,
     if not text:
         return []
     out = base_spans(text)
-    if "=" in text or ":" in text or "</" in text:
+    if "=" in text or ":" in text or "</" in text or "define" in text:
         out = sorted({*out, *((s, 3, e) for s, e in literal_spans(text, threshold))})
     return out
 
