@@ -181,15 +181,16 @@ def string_at(text: str, at: int, unclosed: set[str]) -> tuple[str, int, int, in
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """Name and value parts (kind, start, end) of every assignment, in order; a list gives a pair for each of its strings. Parts reach
     to their true end; the end of a bare word with signs inside is looked for once, and so are the strings of a bracket."""
-    word, unclosed, read = (0, 0), set(), 0
+    word, unclosed, read, block_end = (0, 0), set(), 0, 0
     for name, at, spaced in named_places(text):
-        if text[at - 1:at] == ":" and (block := _BLOCK.match(text, at)):
+        if at >= block_end and text[at - 1:at] == ":" and (block := _BLOCK.match(text, at)):
             lines, at, indent = [], block.start(1), block[1]
             while text.startswith(indent, at):
                 end = text.find("\n", at)
                 end = len(text) if end < 0 else end
                 lines.append(("quoted", at + len(indent), at + len(text[at:end].rstrip())))
                 at = end + 1
+            block_end = at
             yield name, [line for line in lines if line[1] < line[2]]
             continue
         opened = _OPEN.match(text, at)
