@@ -2,9 +2,11 @@
 
 Weights: sublinear ``1 + ln tf``, smooth ``ln((1+n)/(1+df)) + 1``, unit row length.
 
-Fitting reads the text once and shuffles only per-term sums: each row sorts its own
-n-grams, so that the first of equal neighbours marks one document. Transforming reads it
-once more, joins the vocabulary and shuffles the surviving terms of each document.
+Without ``max_features`` fitting reads the text once and shuffles per-term sums: each row
+sorts its own n-grams, so that the first of equal neighbours marks one document. With it,
+most n-grams are too rare to be kept: ``ngrams`` counts only those that can be (two reads, at
+most three), exactly. Transforming reads the text once more and shuffles the vocabulary's
+terms of each document.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from qualitylab.functions import fixed, text
 from qualitylab.functions.text import let
+from qualitylab.operators import ngrams as grams
 from qualitylab.session import pin
 
 BROADCAST_TERMS = 200_000  # a vocabulary of at most this many rows may be broadcast
@@ -97,19 +100,29 @@ class TfIdf:
     def terms(self, column: str) -> Column:
         return ngrams(words(F.col(column), self.stop_words), *self.ngram_range)
 
+    def _stops(self) -> list[str]:
+        return [word.strip() for word in self.stop_words]
+
     def fit(self, df: DataFrame, column: str) -> DataFrame:
         """Vocabulary ``(term, index, df, total_tf, idf)``, indexed alphabetically.
 
         Terms outside the document-frequency limits go first, then all but the
         ``max_features`` most frequent (ties alphabetical).
         """
-        rows = df.agg(F.count(F.lit(1))).scalar()
-        counts = df.select(F.inline(_term_counts(self.terms(column)))).groupBy("term").agg(
-            F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")
-        ).withColumn("_rows", rows)
-        kept = counts.where((F.col("df") >= self.min_df) & (F.col("df") <= self.max_df * F.col("_rows")))
-        if self.max_features is not None:
-            kept = kept.orderBy(F.desc("total_tf"), "term").limit(self.max_features)
+        rows = df.agg(F.count(F.lit(1))).first()[0]
+
+        def allowed(counts: DataFrame) -> DataFrame:
+            counts = counts.withColumn("_rows", F.lit(rows))
+            return counts.where((F.col("df") >= self.min_df) & (F.col("df") <= self.max_df * F.col("_rows")))
+
+        if self.max_features is None:
+            kept = allowed(df.select(F.inline(_term_counts(self.terms(column)))).groupBy("term").agg(
+                F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")
+            ))
+        else:
+            cleaned = df.select(text.letters_only(F.col(column)).alias("cleaned"))
+            counts = grams.leading(cleaned, self.ngram_range, self._stops(), allowed, self.max_features)
+            kept = allowed(counts).orderBy(F.desc("total_tf"), "term").limit(self.max_features)
         idf = F.log((1 + F.col("_rows")) / (1 + F.col("df"))) + 1
         chosen = kept.select("term", "df", "total_tf", idf.alias("idf"))
         from qualitylab.operators import ordering
@@ -118,14 +131,11 @@ class TfIdf:
 
     def transform(self, df: DataFrame, column: str, vocabulary: DataFrame, key: str = "id") -> DataFrame:
         """Rows ``(key, term, index, weight)`` of terms in the vocabulary."""
-        terms = self.terms(column)
+        if self.max_features is not None and self.max_features <= LITERAL_TERMS:
+            return self._transform_few(df, column, vocabulary, key)
         if self.max_features is not None and self.max_features <= BROADCAST_TERMS:
-            if self.max_features <= LITERAL_TERMS:
-                # Drop other terms in place, before rows are sorted and exploded.
-                known = [row["term"] for row in vocabulary.select("term").collect()]
-                terms = F.filter(terms, lambda term: term.isin(known))
             vocabulary = F.broadcast(vocabulary)  # at most max_features rows
-        counts = df.select(key, F.inline(_term_counts(terms)))
+        counts = df.select(key, F.inline(_term_counts(self.terms(column))))
         tf = 1 + F.log("tf") if self.sublinear else F.col("tf").cast("double")
         raw = counts.join(vocabulary, "term").select(
             key, F.struct("index", "term", (tf * F.col("idf")).alias("w")).alias("e")
@@ -138,6 +148,23 @@ class TfIdf:
             key, "term", "index", (F.col("w") / F.col("length")).alias("weight")
         )
 
+    def _transform_few(self, df: DataFrame, column: str, vocabulary: DataFrame, key: str) -> DataFrame:
+        """The same with a vocabulary that every task holds: a document's terms leave a task as one row."""
+        known = vocabulary.select("term", "index", "idf").orderBy("index").collect()  # at most LITERAL_TERMS rows
+        if not known:
+            kind = dict(df.dtypes)[key]
+            return df.sparkSession.createDataFrame([], f"{key} {kind}, term string, index bigint, weight double")
+        cleaned = df.select(key, text.letters_only(F.col(column)).alias("cleaned"))
+        found = grams.known(cleaned, key, [(row["term"], row["idf"]) for row in known], self._stops(), self.sublinear)
+        lists = found.groupBy(key).agg(F.flatten(F.collect_list("es")).alias("es")).withColumn(
+            "length", F.sqrt(F.aggregate("es", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
+        )
+        term, index = F.lit([row["term"] for row in known]), F.lit([row["index"] for row in known]).cast("array<bigint>")
+        return lists.select(key, "length", F.inline("es")).select(
+            key, F.get(term, F.col("place")).alias("term"), F.get(index, F.col("place")).alias("index"),
+            (F.col("w") / F.col("length")).alias("weight"),
+        )
+
 
 PROMPT_TFIDF = dict(ngram_range=(1, 2), max_features=500, min_df=2, max_df=0.9)
 RESPONSE_TFIDF = dict(ngram_range=(1, 3), max_features=1000, min_df=2, max_df=0.85)
