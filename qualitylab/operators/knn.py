@@ -4,7 +4,9 @@ Rows are assigned to the nearest of a few pivots. For a query the distances to t
 with each cell's radius and row count, bound how far its k-th neighbour can be; cells that
 lie wholly beyond that bound hold no neighbour and are skipped. What is left is compared in
 blocks: a crowded cell is cut into blocks of bounded size on both sides, so no task ever
-holds a whole cell, and only k candidates per query and block leave a task.
+holds a whole cell, and only k candidates per query and block leave a task. Inside a block
+one matrix product gives all distances but for rounding; pairs that rounding cannot rule out
+are computed again from differences, and these distances alone count.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PIVOTS = 64
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
+PAIRS = 4_000_000  # distances held at once
+GROUPS = 256  # parts of a block whose least distances bound the k-th one
 
 
 def _distances(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -35,6 +39,49 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
 
+def _closest(asked: np.ndarray, stocked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``asked``, row of ``stocked``, distance) of the ``k`` nearest, ties to the earlier stocked row.
+
+    Infinite or missing components take the plain way: they have no bound on rounding.
+    """
+    middle = stocked.mean(axis=0)
+    a, s = asked - middle, stocked - middle
+    lengths, far = (a * a).sum(axis=1), (s * s).sum(axis=1)
+    if not (np.isfinite(lengths).all() and np.isfinite(far).all()):
+        gaps = _distances(asked, stocked)
+        best = gaps.argsort(axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(asked)), best.shape[1])
+        return rows, best.ravel(), gaps[rows, best.ravel()]
+    # Moving both to the middle and the product of d terms round by less than this, even where all is far from the origin.
+    slack = 16 * (asked.shape[1] + 8) * np.finfo(float).eps * (
+        lengths + far.max() + (asked * asked).sum(axis=1) + (stocked * stocked).sum(axis=1).max())
+    found = []
+    groups = min(len(stocked), max(GROUPS, 2 * k))
+    edges = np.arange(groups) * len(stocked) // groups
+    step = max(1, PAIRS // len(stocked))
+    for start in range(0, len(asked), step):
+        part = slice(start, start + step)
+        squares = a[part] @ s.T
+        squares *= -2
+        squares += far
+        squares += lengths[part, None]
+        least = np.minimum.reduceat(squares, edges, axis=1)
+        bound = np.partition(least, k - 1, axis=1)[:, k - 1] if k <= groups else np.full(len(squares), np.inf)
+        rows, picks = np.nonzero(squares <= (bound + 2 * slack[part])[:, None])
+        gaps = np.empty(len(rows))
+        some = max(1, PAIRS // asked.shape[1])
+        for first in range(0, len(rows), some):
+            cut = slice(first, first + some)
+            gap = asked[start + rows[cut]] - stocked[picks[cut]]
+            gaps[cut] = np.sqrt((gap * gap).sum(axis=1))
+        order = np.lexsort((picks, gaps, rows))
+        rows, picks, gaps = rows[order], picks[order], gaps[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < k
+        found.append((start + rows[kept], picks[kept], gaps[kept]))
+    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+
+
 def nearest(
     train: DataFrame, query: DataFrame, k: int = 5, key: str = "id", vector: str = "features",
     target: str = "y", pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
@@ -115,13 +162,10 @@ def nearest(
         if not len(asked) or not len(stocked):
             return pd.DataFrame({key: [], "neighbour": [], "distance": [], "y": []})
         stocked = stocked.sort_values("neighbour")
-        gaps = _distances(_matrix(asked["v"]), _matrix(stocked["v"]))
-        best = gaps.argsort(axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(asked)), best.shape[1])
-        picks = best.ravel()
+        rows, picks, gaps = _closest(_matrix(asked["v"]), _matrix(stocked["v"]), k)
         return pd.DataFrame({
             key: asked[key].to_numpy()[rows], "neighbour": stocked["neighbour"].to_numpy()[picks],
-            "distance": gaps[rows, picks], "y": stocked["y"].to_numpy()[picks],
+            "distance": gaps, "y": stocked["y"].to_numpy()[picks],
         })
 
     kinds = dict(left.dtypes) | dict(right.dtypes)

@@ -152,3 +152,22 @@ def test_training_job(spark, small, tmp_path):
     assert result.n_train == 320 and result.n_val == 40
     assert {r["model"] for r in result.report.collect()} == {"ridge", "stacking"}
     assert spark.read.json(str(tmp_path / "training_results")).count() == 20
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "far", "few", "missing"])
+def test_blocks_by_matrix_product_equal_differences(kind):
+    rng = np.random.default_rng(5)
+    asked, stocked = rng.normal(size=(150, 6)), rng.normal(size=(900, 6))
+    if kind == "ties":
+        asked, stocked = np.round(asked), np.round(stocked)
+    elif kind == "far":  # products of such vectors have no digit left for the distances
+        asked, stocked = asked * 1e-6 + 1e6, stocked * 1e-6 + 1e6
+    elif kind == "few":
+        stocked = stocked[:3]
+    elif kind == "missing":
+        stocked[4, 2], stocked[9, 1] = np.nan, np.inf
+    gaps = knn._distances(asked, stocked)
+    best = gaps.argsort(axis=1, kind="stable")[:, :5]
+    rows, picks, found = knn._closest(asked, stocked, 5)
+    assert rows.tolist() == np.repeat(np.arange(150), best.shape[1]).tolist() and picks.tolist() == best.ravel().tolist()
+    assert np.array_equal(found, np.take_along_axis(gaps, best, axis=1).ravel(), equal_nan=True)
