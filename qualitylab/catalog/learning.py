@@ -215,7 +215,8 @@ def described(spark, d):
 
 
 def text_rows(spark, d):
-    return models.assemble(described(spark, d), fixed.STRUCTURAL_FEATURES, "clarity_score")
+    """Written once: a fit and its predictions read the numbers, and the text is measured a single time."""
+    return pin(models.assemble(described(spark, d), fixed.STRUCTURAL_FEATURES, "clarity_score"))
 
 
 def labelled(rows):
@@ -443,7 +444,7 @@ def baseline_models(spark, d):
 @add("m10_predict_best")
 def predict_best(spark, d):
     """The best of the whole registry on the held rows, for all documents."""
-    rows = pin(text_rows(spark, d))
+    rows = text_rows(spark, d)
     train, held = sampling.random_split(labelled(rows))
     fitted = models.fit_models(train)
     best = models.best_model(models.leaderboard(fitted, held))
@@ -453,7 +454,7 @@ def predict_best(spark, d):
 @add("m11_leaderboard")
 def leaderboard(spark, d):
     """The whole registry at its defaults, five folds."""
-    train, held = sampling.random_split(labelled(pin(text_rows(spark, d))))
+    train, held = sampling.random_split(labelled(text_rows(spark, d)))
     return models.leaderboard(models.fit_models(train), held, train, 5)
 
 
@@ -510,7 +511,7 @@ def best_of(spark, d):
 @add("m14_stacking")
 def stacking(spark, d):
     """All bases at their defaults, five folds; predictions for all documents."""
-    rows = pin(text_rows(spark, d))
+    rows = text_rows(spark, d)
     train, _ = sampling.random_split(labelled(rows))
     return ensembles.fit_stacking(train).predict(rows).select("id", F.round("y_pred", 6).alias("y_pred"))
 

@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualitylab.operators import gram, knn, metrics, ordering, robust, sampling
-from qualitylab.session import concurrently
+from qualitylab.session import FEW, concurrently
 
 #: The depth at which the tree learner ends.
 DEEPEST = 30
+#: Rows that a task of a fit takes at least, once there are tasks for all cores. Boosting runs hundreds of small jobs, whose time is that of starting tasks.
+ROWS_A_TASK = 50_000
 COLUMNS = {"featuresCol": "features", "labelCol": "y"}
 
 
@@ -138,6 +140,13 @@ def _scaled(df: DataFrame, scaler: PipelineModel | None) -> DataFrame:
     return out.withColumn("features", F.col("_scaled")).drop("_z", "_scaled")
 
 
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, cached and of ``rows`` rows, in no more partitions than cores or enough rows ask for; nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    most = max(cores, FEW, rows // ROWS_A_TASK)
+    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df
+
+
 def build(name: str, stats: LabelStats, overrides: Mapping | None = None):
     spec = ALL_MODELS[name]
     return spec.build(stats, **{**spec.params, **(overrides or {})})
@@ -169,7 +178,7 @@ def fit_models(
     shared = train.is_cached  # then it is the caller's to release
     train = train.persist()
     scaler = fit_scaler(train) if scale else None
-    ready = _scaled(train, scaler)
+    ready = _packed(_scaled(train, scaler), train.count())
     stats = LabelStats.of(ready)
     wanted = [n for n in (names or MODEL_REGISTRY) if n in ALL_MODELS]
     fits = concurrently(train.sparkSession, [lambda n=n: build(n, stats, params.get(n)).fit(ready) for n in wanted])

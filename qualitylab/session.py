@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
 
+#: Splits below which a source is dealt out anew.
+FEW = 8
+
 
 def local_session(cores: str = "8", app: str = "qualitylab", memory: str = "12g") -> SparkSession:
     """A session for tests and the local bench; on a cluster use spark-submit's own."""
@@ -74,7 +77,7 @@ def concurrently(spark: SparkSession, jobs: Sequence[Callable[[], T]], at_most:
         return list(pool.map(run, jobs))
 
 
-def spread(df: DataFrame, few: int = 8) -> DataFrame:
+def spread(df: DataFrame, few: int = FEW) -> DataFrame:
     """Use more cores on a source of fewer than ``few`` splits (one small file, under a GB or so by Spark's
     defaults). Anything larger is never shuffled, however many cores the cluster has."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -171,3 +171,26 @@ def test_blocks_by_matrix_product_equal_differences(kind):
     rows, picks, found = knn._closest(asked, stocked, 5)
     assert rows.tolist() == np.repeat(np.arange(150), best.shape[1]).tolist() and picks.tolist() == best.ravel().tolist()
     assert np.array_equal(found, np.take_along_axis(gaps, best, axis=1).ravel(), equal_nan=True)
+
+
+def test_fits_take_no_more_tasks_than_cores_and_rows_ask_for(spark, monkeypatch):
+    rows = spark.range(1000).select("id", F.col("id").cast("double").alias("y"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
+    seen = []
+
+    class Learner:
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return self
+
+    monkeypatch.setitem(models.ALL_MODELS, "counting", models.Spec(lambda s: Learner()))
+    for parts, a_task in ((40, 50_000), (40, 50), (3, 50_000)):
+        monkeypatch.setattr(models, "ROWS_A_TASK", a_task)
+        models.fit_models(rows.repartition(parts), ["counting"], scale=False)
+    assert seen == [8, 20, 3]
+
+
+def test_text_is_measured_once_for_fit_and_predictions(spark, small):
+    from qualitylab.catalog import learning
+
+    plan = learning.text_rows(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and "Scan parquet" not in plan
