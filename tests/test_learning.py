@@ -1,6 +1,7 @@
 """TF-IDF, SVD, k-NN, models, ensembles, training job and streams."""
 
 import math
+import threading
 from collections import Counter
 
 import numpy as np
@@ -194,3 +195,50 @@ def test_text_is_measured_once_for_fit_and_predictions(spark, small):
 
     plan = learning.text_rows(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" in plan and "Scan parquet" not in plan
+
+
+def test_boosting_gets_as_few_tasks_as_its_values_ask_for(spark, monkeypatch):
+    rows = [(i, float(i % 7), [float(i % 7), float(i % 3)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, y double, v array<double>").repartition(8)
+    seen = {}
+
+    class Recording:
+        def __init__(self, name):
+            self.name = name
+
+        def fit(self, ready):
+            seen[self.name] = ready.rdd.getNumPartitions()
+
+    monkeypatch.setattr(models, "build", lambda name, stats, overrides=None: Recording(name))
+    frame = df.select("id", "y", array_to_vector("v").alias("features"))
+    models.fit_models(frame, ["gradient_boosting", "random_forest"])
+    assert seen == {"gradient_boosting": 1, "random_forest": 8}
+    monkeypatch.setattr(models, "BOOSTED_VALUES", 54)
+    models.fit_models(frame, ["gradient_boosting"])
+    assert seen["gradient_boosting"] == 3
+
+
+def test_bases_on_all_rows_are_fitted_beside_those_of_the_folds(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 5), [float(i % 5), float(i % 3)]) for i in range(40)], "id int, y double, v array<double>")
+    frame = df.select("id", "y", array_to_vector("v").alias("features"))
+    started, fit, held_out, validated = threading.Event(), models.fit_models, models.out_of_fold, models.cross_validate
+
+    def whole(train, *rest):
+        if "fold" not in train.columns and train is frame:
+            started.set()
+        return fit(train, *rest)
+
+    def waiting(run):
+        def held(*given):
+            assert started.wait(20), "the folds came first"
+            return run(*given)
+        return held
+
+    monkeypatch.setattr(models, "fit_models", whole)
+    monkeypatch.setattr(models, "out_of_fold", waiting(held_out))
+    stack = ensembles.fit_stacking(frame, ["ridge", "decision_tree"], 3)
+    assert stack.predict(frame).where("y_pred IS NULL").count() == 0
+    started.clear()
+    monkeypatch.setattr(models, "cross_validate", waiting(validated))
+    fitted, board = models.fitted_board(frame, frame, ["linear", "ridge"], folds=3)
+    assert board.collect() == models.leaderboard(fitted, frame, frame, 3).collect()
