@@ -6,7 +6,7 @@ blocks: one bit per size block tells a set whether a list holds any set of a siz
 a list, size, position and a parity bitmap bound the overlap before a pair is formed.
 
 Answers are derived from those of similar sets. First every set is compared only with two leaders of each
-of its lists, the set that shares most of its prefix and one drawn by hash. Sets that prove connected so share their
+of its lists, the set that shares most of its prefix and one drawn by hash, the same for like lists. Sets that prove connected so share their
 answers: from then on only pairs across different components are formed, so a large group of near copies costs
 one comparison or a few for each member instead of one for each pair. What is formed is verified exactly.
 """
@@ -34,6 +34,9 @@ FREQUENT, MAX_FREQUENT, SPARE = 64, 200_000, 1.5
 BITS, MAX_PICKED = 512, 2_000_000
 #: Rounds of new leaders at most (what they leave is formed pair by pair), and shingles ahead that tell whether a pair met before.
 TURNS, BEFORE = 2, 8
+#: Draws of leaders. Lists of one draw that hold the same sets have the same leader, so a group of copies makes a few pairs for each
+#: member, however many lists it shares.
+DRAWS = 3
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -199,13 +202,18 @@ def joined_fit(pairs: DataFrame, maps: DataFrame, part: str, fit) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").filter(fit).select("x", "y")
 
 
+def chance(turn: int = 0) -> Column:
+    """By which a set is drawn as a list's leader: of the set and the list's draw, not of the list itself."""
+    return F.xxhash64(F.lit(turn), F.pmod("token", F.lit(DRAWS)), "key")
+
+
 def led_pairs(postings: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Each set with the two leaders of each of its lists, where bounds allow."""
     nodes = postings.groupBy("key").agg((F.count("*") / F.max(100 + (100 - percent) * F.col("n"))).alias("central"))
     own = F.struct("key", "n", "at")
     leaders = postings.join(nodes, "key").groupBy("token").agg(
         F.max(F.struct("central", "key", own.alias("set"))).alias("most"),
-        F.max(F.struct(F.xxhash64("token", "key").alias("chance"), own.alias("set"))).alias("drawn"))
+        F.max(F.struct(chance().alias("chance"), own.alias("set"))).alias("drawn"))
     met = (postings.select("token", own.alias("s")).join(leaders, "token")
            .select("s", F.explode(F.array("most.set", "drawn.set")).alias("l")))
     return bounded_pairs(met.filter(F.col("s.key") != F.col("l.key")), maps, percent)
@@ -228,7 +236,7 @@ def newly_led_pairs(rows: DataFrame, maps: DataFrame, tested: DataFrame, percent
     """Each set of an open list with a leader from the component that holds most of the list, drawn anew each turn; pairs ``tested``
     before are left out."""
     own = F.struct("key", "n", "at")
-    drawn = F.struct(F.xxhash64(F.lit(turn), "token", "key").alias("chance"), own.alias("set"))
+    drawn = F.struct(chance(turn + 1).alias("chance"), own.alias("set"))
     parts = rows.groupBy("token", "label").agg(F.count("*").alias("held"), F.max(drawn).alias("drawn"))
     leaders = parts.groupBy("token").agg(F.max(F.struct("held", "drawn", "label")).alias("l"))
     met = rows.select("token", "label", own.alias("s")).join(leaders, "token").filter(F.col("label") != F.col("l.label"))
@@ -280,22 +288,52 @@ def linked(docs: DataFrame, sets: DataFrame, maps: DataFrame, pairs: DataFrame,
     return found.filter(similar("of_x", "of_y")).select("x", "y"), held
 
 
+def rooted(labels: DataFrame) -> DataFrame:
+    """``labels``, each replaced by the label of its label until nothing changes; paths shrink by half each time."""
+    while True:
+        jump = labels.select(F.col("key").alias("label"), F.col("label").alias("next"))
+        new = written(labels.join(jump, "label").select("key", F.col("label").alias("old"), F.col("next").alias("label")), "labels")
+        if new.filter("label <> old").isEmpty():
+            return labels
+        labels = new.select("key", "label")
+
+
+def relinked(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """The different links between the labels that ``groups`` gives the ends of ``links``; an end without one stands for itself."""
+    for end in ("x", "y"):
+        links = links.join(groups.select(F.col("key").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+    x, y = F.coalesce("of_x", "x"), F.coalesce("of_y", "y")
+    return links.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).filter("x <> y").distinct()
+
+
+def relabelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """``groups`` with each label replaced by its own among ``labels``, where it has one."""
+    jump = labels.select(F.col("key").alias("label"), F.col("label").alias("next"))
+    return groups.join(jump, "label", "left").select("key", F.coalesce("next", "label").alias("label"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``key`` and ``label``, the smallest key that it reaches by ``links`` (x, y).
 
-    Each round, a key takes the smallest label around it and then the label of that label, so paths shrink by half or
-    more; it ends when nothing changes. Every round is a written table.
+    Each round, a key takes the smallest key around it and then what that leads to; the links between those
+    are the next round's. A key that leads to itself has others under it, so each round leaves half of the keys or
+    fewer, and it ends when no link is left. Every round is a written table.
     """
-    both = written(links.union(links.select("y", "x")).toDF("key", "other").distinct(), "links")
-    labels = written(both.groupBy("key").agg(F.least("key", F.min("other")).alias("label")), "labels")
+    groups = None
     while True:
-        around = (both.join(labels.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("label").alias("seen")))
-        lower = labels.join(around, "key").select("key", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = labels.select(F.col("key").alias("label"), F.col("label").alias("next"))
-        new = written(lower.join(jump, "label", "left").select("key", "old", F.least("label", "next").alias("label")), "labels")
-        if new.filter("label <> old").isEmpty():
-            return new.select("key", "label")
-        labels = new.select("key", "label")
+        both = links.union(links.select("y", "x")).toDF("key", "other")
+        labels = rooted(written(both.groupBy("key").agg(F.least("key", F.min("other")).alias("label")), "labels"))
+        groups = labels if groups is None else written(relabelled(groups, labels), "labels")
+        links = written(relinked(links, labels), "links")
+        if links.isEmpty():
+            return groups
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of ``groups`` and more ``links`` together; only links between different components are followed."""
+    labels = components(written(relinked(links, groups), "links"))
+    new = labels.join(groups.select("key"), "key", "left_anti")
+    return written(relabelled(groups, labels).union(new), "labels")
 
 
 def grouped(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -309,8 +347,7 @@ def grouped(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col:
                    .groupBy("key").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.first("wide").alias("wide")), "maps")
     tested = pairs = written(led_pairs(postings, maps, percent), "led")
     found, held = linked(docs, sets, maps, pairs, None, *how)
-    links = written(found, "links")
-    groups = components(links)
+    groups = components(written(found, "links"))
     for turn in range(TURNS):
         rows = written(open_postings(postings, groups), "open")
         pairs = written(newly_led_pairs(rows, maps, tested, percent, turn), "led")
@@ -319,10 +356,9 @@ def grouped(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col:
         tested = tested.union(pairs)
         if more.isEmpty():
             break
-        links = links.union(more)
-        groups = components(links)
+        groups = merged(groups, more)
     pairs = written(crossing_pairs(written(open_postings(postings, groups), "open"), maps, tested, percent), "crossing")
-    groups = components(links.union(linked(docs, sets, maps, pairs, held, *how)[0]))
+    groups = merged(groups, linked(docs, sets, maps, pairs, held, *how)[0])
     labels = groups.select("key", F.col("label").alias("led"))
     rows = sets.select("id_", "row_", "n", "key").join(labels, "key", "left")
     return written(rows.select("id_", "row_", "n", F.when(F.col("n") > 0, F.coalesce("led", "key")).alias("label")), "groups")

@@ -82,3 +82,34 @@ def test_leader_rounds_find_chains_and_leave_nothing(spark, monkeypatch):
     for turns in (0, 2):
         monkeypatch.setattr(jaccard, "TURNS", turns)
         assert {r.doc_id: r.component_id for r in jaccard.similar_sets(docs).collect()} == want
+
+
+def test_components_follow_each_link_once(spark, monkeypatch):
+    """A path, a star, a group in which all are linked and a pair: the links are read in the first round, later rounds have what is left."""
+    links = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(30)] + [(200 + i, 200 + j) for i in range(20) for j in range(i + 1, 20)] + [(300, 7000)]
+    rounds, real = [], jaccard.written
+
+    def counted(df, label):
+        out = real(df, label)
+        rounds.extend([out.count()] if label == "links" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    frame = spark.createDataFrame(links, "x long, y long")
+    first = jaccard.components(frame)
+    want = {k: 0 for k in range(41)} | {100 + i: 100 for i in range(31)} | {200 + i: 200 for i in range(20)} | {300: 300, 7000: 300}
+    assert {r.key: r.label for r in first.collect()} == want
+    assert rounds == [0]
+    more = spark.createDataFrame([(40, 7000), (205, 119), (219, 101), (9000, 8000), (9000, 8000), (3, 1)], "x long, y long")
+    want |= {300: 0, 7000: 0, 9000: 8000, 8000: 8000} | {200 + i: 100 for i in range(20)}
+    assert {r.key: r.label for r in jaccard.merged(first, more).collect()} == want
+    assert jaccard.components(frame.limit(0)).count() == 0
+    zigzag = spark.createDataFrame([(50, 1), (1, 40), (40, 2), (2, 30), (30, 3)], "x long, y long")
+    assert {r.label for r in jaccard.components(zigzag).collect()} == {1}
+
+
+def test_a_group_that_shares_its_lists_has_few_leaders(spark):
+    """All 50 sets are in the same 40 lists: each meets the leaders of the draws, not one of each list."""
+    postings = spark.createDataFrame([(t, k, 200, t) for t in range(40) for k in range(50)], "token long, key long, n long, at int")
+    maps = spark.createDataFrame([(k, 200, [0] * (jaccard.BITS // 64)) for k in range(50)], "key long, n long, map array<long>")
+    assert 0 < jaccard.led_pairs(postings, maps, 80).count() <= 50 * (jaccard.DRAWS + 1)
