@@ -6,6 +6,9 @@ shard's counts of the sources are a multinomial draw, held to the mix's exact to
 through its blocks in passes, each pass in an order of its own, given by a pseudorandom permutation of the block
 numbers; slots and blocks are then joined by (source, block). A source is never sorted or held in one place:
 streams are numbered inside ``CELLS`` hash cells, and cells by their sums.
+
+Spark takes slots for as few as the sources that they are exploded from, and would broadcast them; their joins are
+named merge joins, as is that of cells and rows, whose file is far smaller than the rows in memory.
 """
 
 from __future__ import annotations
@@ -98,7 +101,7 @@ def packed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
              .join(sources.select("source_", "source_size", "target"), "source_").drop("held"))
     inside = Window.partitionBy("source_", "cell").orderBy(F.xxhash64("id_"), "id_", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (sizes.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-            .join(cells, ["source_", "cell"])
+            .join(cells.hint("merge"), ["source_", "cell"])
             .withColumn("begin", F.col("cell_begin") + F.col("inside")).drop("cell_begin", "inside"))
 
 
@@ -123,7 +126,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     sizes = written(streams(docs, id_col, source_col, text_col), "sizes")
     sources = written(targets(sizes), "sources")
     cut = pieces(packed(sizes, sources)).select("id_", "source_", "block", "skip", "words")
-    return (drawn(sources).join(cut, ["source_", "block"])
+    return (drawn(sources).hint("merge").join(cut, ["source_", "block"])
             .select("shard", "slot", F.col("id_").alias(id_col), "skip", "words"))
 
 
@@ -142,7 +145,7 @@ def mixed_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     placed = drawn(sources).groupBy("shard", "source_", "block").agg(F.count("*").alias("slots"))
     taken = placed.groupBy("source_", "block").agg(F.sum("slots").alias("times"))
     keys = ["id_", "source_", "size", "begin", "source_size", "target"]
-    used = (pieces(rows).select(*keys, "block", "words").join(taken, ["source_", "block"], "left")
+    used = (pieces(rows).select(*keys, "block", "words").join(taken.hint("merge"), ["source_", "block"], "left")
             .groupBy(*keys).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")))
     none = rows.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return used.union(none).select(F.col("id_").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
